@@ -1,10 +1,13 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from keyloom.llm import language, mixing, urls, warc
+from keyloom.llm import decontaminate, html, language, minhash, mixing, urls, warc
 
 QUERIES = {
     "op2_warc": warc.query,
+    "op3_html": html.query,
+    "op4_minhash": minhash.query,
     "op5_mixing": mixing.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_language": language.query,
     "op10_urls": urls.query,
 }
