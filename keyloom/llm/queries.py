@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from keyloom.llm import decontaminate, html, language, minhash, mixing, urls, warc
+from keyloom.llm import decontaminate, html, language, minhash, mixing, syncmers, urls, warc
 
 QUERIES = {
+    "op1_syncmers": syncmers.query,
     "op2_warc": warc.query,
     "op3_html": html.query,
     "op4_minhash": minhash.query,
