@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from keyloom.llm import decontaminate, html, language, minhash, mixing, syncmers, urls, warc
+from keyloom.llm import decontaminate, html, language, minhash, mixing, pii, syncmers, urls, warc
 
 QUERIES = {
     "op1_syncmers": syncmers.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op7_decontaminate": decontaminate.query,
     "op8_language": language.query,
+    "op9_pii": pii.query,
     "op10_urls": urls.query,
 }
 
