@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from keyloom.llm import decontaminate, html, language, minhash, mixing, pii, syncmers, urls, warc
+from keyloom.llm import decontaminate, html, language, minhash, mixing, pii, repeats, syncmers, urls, warc
 
 QUERIES = {
     "op1_syncmers": syncmers.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_html": html.query,
     "op4_minhash": minhash.query,
     "op5_mixing": mixing.query,
+    "op6_repeats": repeats.query,
     "op7_decontaminate": decontaminate.query,
     "op8_language": language.query,
     "op9_pii": pii.query,
