@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import text_of, written
 
 LENGTH, PIECE, GRAM, HOT = 400, 208, 16, 500
-BLOCK, RUN_BYTES = 1 << 19, 64 << 20
+BLOCK, RUN_BYTES = 1 << 19, 12 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -303,23 +303,22 @@ def runs_of(joined: DataFrame, ranges: int) -> DataFrame:
 
         for pdf in batches:
             hot, texts = [], []
-            for tk, text, copies, cand in zip(pdf["tk"], pdf["text"], pdf["copies"], pdf["cand"], strict=True):
+            for tk, text, copies, *cand in zip(*(pdf[c] for c in ("tk", "text", "copies", "piece", "pos", "gap", "hot")), strict=True):
                 text, tk, hashes = bytes(text), bytes(tk), None
                 if copies == 1:
                     texts.append((tk, text))
-                for c in cand:
-                    pos, gap, piece = c["pos"], c["gap"], c["piece"]
+                for piece, pos, gap, is_hot in zip(*(c.tolist() for c in cand), strict=True):
                     least = max(0, pos + LENGTH - len(text))
-                    if c["hot"]:
+                    if is_hot:
                         hashes = Hashes(text).windows().view(np.int64) if hashes is None else hashes
                         hot.append((tk, pos, least, hashes[pos - gap + 1 : pos - least + 1][::-1]))
                         continue
                     right, left = windows_before(text, pos, gap, least)
                     records.append(((piece & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + right, left, tk, pos, gap, least))
-                    size += len(right) + len(left) + 100
-            if size > RUN_BYTES:
-                yield flush()
-                size = 0
+                    size += len(right) + len(left) + 200
+                if size > RUN_BYTES:
+                    yield flush()
+                    size = 0
             if hot:
                 cols = list(zip(*hot, strict=True))
                 yield pd.DataFrame({"range": None, "run": None, "tk": cols[0], "pos": cols[1], "least": cols[2], "windows": list(cols[3]), "text": None})
@@ -328,7 +327,7 @@ def runs_of(joined: DataFrame, ranges: int) -> DataFrame:
         if records:
             yield flush()
 
-    return joined.select("tk", "text", "copies", "cand").mapInPandas(run, "range int, run binary, tk binary, pos int, least int, windows array<long>, text binary")
+    return joined.select("tk", "text", "copies", "cand.piece", "cand.pos", "cand.gap", "cand.hot").mapInPandas(run, "range int, run binary, tk binary, pos int, least int, windows array<long>, text binary")
 
 
 def merged_spans(runs: DataFrame) -> DataFrame:
@@ -359,10 +358,10 @@ def kept(texts: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
+            for text, starts, ends in zip(pdf["text"], pdf["start"], pdf["end"], strict=True):
                 text = bytes(text)
                 h, at, removed, n = hashlib.sha256(), 0, 0, 0
-                for start, end in sorted((s["start"], s["end"]) for s in spans):
+                for start, end in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
                     if start > at or n == 0:
                         h.update(text[at:start])
                         n += 1
@@ -375,7 +374,7 @@ def kept(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 rows.append((removed, n, h.hexdigest()))
             yield pd.DataFrame({"tk": pdf["tk"], "n_removed": [r[0] for r in rows], "n_spans": [r[1] for r in rows], "kept_sha": [r[2] for r in rows]})
 
-    return texts.join(lists, "tk").select("tk", "text", "spans").mapInPandas(run, "tk binary, n_removed long, n_spans long, kept_sha string")
+    return texts.join(lists, "tk").select("tk", "text", "spans.start", "spans.end").mapInPandas(run, "tk binary, n_removed long, n_spans long, kept_sha string")
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
