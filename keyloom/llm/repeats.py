@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import text_of, written
+from keyloom.llm.common import small_batches, text_of, written
 
 LENGTH, PIECE, GRAM, HOT = 400, 208, 16, 500
 BLOCK, RUN_BYTES = 1 << 19, 12 << 20
@@ -345,7 +345,8 @@ def merged_spans(runs: DataFrame) -> DataFrame:
 def hot_spans(hot: DataFrame) -> DataFrame:
     """The same for hot pieces, by counting each window."""
     each = hot.select("tk", "pos", "least", F.posexplode("windows").alias("i", "window"))
-    twice = each.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window")
+    # Written, so that the join has exchanges of its own and a window that many texts hold can be split.
+    twice = written(each.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window"), "windows")
     start = F.col("pos") - F.col("least") - F.col("i")
     # One row for each anchor again, before the spans of a text meet.
     return each.join(twice, "window").select("tk", start.cast("long").alias("start"), (start + LENGTH).cast("long").alias("end"))
@@ -381,7 +382,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
     spark = docs.sparkSession
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a = written(outlines(docs.select("doc_id", "text")), "outlines")
+    with small_batches(spark):
+        a = written(outlines(docs.select("doc_id", "text")), "outlines")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep")
     first = F.first(F.struct("piece", "pos", "gap")).alias("x")
     classes = written(a.groupBy("tk").agg(F.count("*").alias("copies"), rep, F.first("n").alias("n"), first), "classes")
@@ -391,7 +393,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     cand = cand.join(classes.select("tk", "copies", F.col("rep.doc_id").alias("rep_id")), "tk")
     texts = docs.select("doc_id", F.encode(text_of("text"), "UTF-8").alias("text")).withColumn("mine", F.unhex(F.md5("text")))
     joined = texts.join(cand, texts["doc_id"].eqNullSafe(cand["rep_id"]) & (texts["mine"] == cand["tk"]))
-    work = written(runs_of(joined, ranges), "runs")
+    with small_batches(spark):
+        work = written(runs_of(joined, ranges), "runs")
     spans = merged_spans(work.filter("range IS NOT NULL").select("range", "run"))
     spans = spans.unionByName(hot_spans(work.filter("windows IS NOT NULL").select("tk", "pos", "least", "windows")))
     some = kept(work.filter("text IS NOT NULL").select("tk", "text"), spans)
