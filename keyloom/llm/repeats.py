@@ -389,6 +389,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     classes = written(a.groupBy("tk").agg(F.count("*").alias("copies"), rep, F.first("n").alias("n"), first), "classes")
     each = classes.select("tk", F.inline(F.arrays_zip("x.piece", "x.pos", "x.gap")))
     counts = each.groupBy("piece").agg(F.count("*").alias("m")).filter("m > 1").select("piece", (F.col("m") > hot).alias("hot"))
+    counts = written(counts, "pieces")  # as with the windows, so that the join below can be split
     cand = each.join(counts, "piece").groupBy("tk").agg(F.collect_list(F.struct("piece", "pos", "gap", "hot")).alias("cand"))
     cand = cand.join(classes.select("tk", "copies", F.col("rep.doc_id").alias("rep_id")), "tk")
     texts = docs.select("doc_id", F.encode(text_of("text"), "UTF-8").alias("text")).withColumn("mine", F.unhex(F.md5("text")))
