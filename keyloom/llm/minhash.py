@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import text_of, written
+from keyloom.llm.common import small_batches, text_of, written
 
 WORDS, BANDS, ROWS, STARS, PERCENT = 5, 25, 5, 2, 85
 BINS = 128
@@ -170,7 +170,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     docs = docs.select("doc_id", "text")
-    sk = written(sketches(docs), "sketch")
+    with small_batches(docs.sparkSession):
+        sk = written(sketches(docs), "sketch")
     has = sk.filter(F.col("node").isNotNull())
     # Copies of a class meet in a map-side combine first, so a group of any size is one row a task.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tk")).alias("rep")
@@ -205,7 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(check(pairs, texts, percent), "links")
+        with small_batches(docs.sparkSession):
+            found = written(check(pairs, texts, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
 
