@@ -7,14 +7,18 @@
 2. Documents with equal sets are one class from here on.
 3. ``BANDS`` bands of ``ROWS`` bins give buckets.  At similarity 0.85 two sets
    share no bucket with a chance of (1 - 0.85**5)**25 = 4e-7.
-4. Star edges: in each bucket, every class is paired with one centre, so pairs
-   grow with the members of buckets and not with their squares.  Pairs are
-   checked on the full sets and joined to components.
-5. A bucket whose members now lie in one component can hold no further link
+4. In buckets of more than ``WIDE`` classes, a class's own shingles (those that no
+   other class of such buckets has) bound what it can share: a pair is worth a
+   look only if its sizes and own shingles leave room for the link, and a class
+   with too many own shingles can't be linked at all.
+5. Star edges: in each bucket every class is paired with ``CENTRES`` centres, the
+   classes with the smallest share of own shingles, so pairs grow with the
+   members of buckets and not with their squares.  Pairs are checked on the full
+   sets and joined to components.
+6. A bucket whose members now lie in one component can hold no further link
    that matters.  In the others, members outside the bucket's largest component
-   are checked against all members of other components (of fitting size), so
-   nothing is lost beside the chance in 3.  ``STARS`` rounds of stars with other
-   centres precede this and leave few such buckets.
+   are checked against all members of other components that the bound leaves,
+   so nothing is lost beside the chance in 3.
 
 Links: 100 * |A and B| >= ``percent`` * |A or B|.  Fewer than five words: the
 whole sequence is the one shingle.  Text null or without words: empty set,
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import small_batches, text_of, written
 
-WORDS, BANDS, ROWS, STARS, PERCENT = 5, 25, 5, 2, 85
+WORDS, BANDS, ROWS, CENTRES, WIDE, PERCENT = 5, 25, 5, 4, 32, 85
 BINS = 128
 _C = [np.uint64(c | 1) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _hash = xxhash.xxh3_64_intdigest
@@ -121,6 +125,19 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text_of("text")).alias("tk"), "text").mapInPandas(run, f"doc_id {kind}, tk long, n long, node binary, bands array<long>")
 
 
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each class no other class of the table has; id hashes the node."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "h": [shingles(t).view(np.int64) for t in pdf["text"]]})
+
+    sets = texts.select(F.xxhash64("node").alias("id"), "text").mapInPandas(run, "id long, h array<long>")
+    # Of a shingle that one class has, the exclusive or of its classes is that class.
+    single = sets.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.bit_xor("id").alias("id")).filter("m = 1")
+    return single.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def check(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked, judged on their full sets."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -177,38 +194,48 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tk")).alias("rep")
     nodes = written(has.groupBy("node").agg(first, F.first("bands").alias("bands"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
 
-    spread = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    members = written(spread.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tk").alias("tk"))
+    spread = nodes.select(F.explode("bands").alias("bucket"), "node", "n", "bands")
+    sizes = written(spread.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    near = written(spread.join(sizes, "bucket"), "near")
+    wanted = near.groupBy("node").agg((F.max("m") > WIDE).alias("wide")).join(nodes.select("node", "rep"), "node")
+    wanted = wanted.select("node", "wide", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tk").alias("tk"))
     keyed = docs.withColumn("tk", F.xxhash64(text_of("text")))
     same = (keyed["tk"] == wanted["tk"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])
-    texts = written(keyed.join(wanted, same).select("node", "text"), "texts")
-
-    edges = tested = labels = None
-    for r in range(STARS + 1):
-        m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else members.withColumn("label", F.col("node"))
-        if labels is not None:
-            split = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-            m = written(m.join(split, "bucket"), "open")
-            if m.isEmpty():
-                break
-        if r < STARS:
-            centre = m.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "label", "n")).alias("c"))
-            one = centre.select("bucket", F.col("c.node").alias("x"), F.col("c.label").alias("lx"), F.col("c.n").alias("nx"))
-        else:
-            most = m.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"))
-            rest = m.join(most.select("bucket", F.col("top.label").alias("big")), "bucket").filter("label <> big")
-            one = rest.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-        fits = (F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-        pairs = m.join(one, "bucket").filter(fits).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    texts = written(keyed.join(wanted, same).select("node", "wide", "text"), "texts")
+    # A repeated row would count its shingles twice.
+    own = written(own_shingles(texts.filter("wide").groupBy("node").agg(F.first("text").alias("text"))), "own")
+    members = near.withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"))
+    members = written(members.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "members")
+
+    def pairs_of(m: DataFrame, one: DataFrame) -> DataFrame:
+        room = F.least(F.col("n") - F.col("own"), F.col("nx") - F.col("ox"))
+        least = F.greatest(F.col("n") + F.col("ox"), F.col("nx") + F.col("own"))
+        fits = (F.col("label") != F.col("lx")) & (100 * room >= percent * least)
+        # A pair comes from the first bucket that both share.
+        fits = fits & (F.col("bucket") == F.array_min(F.array_intersect("bands", "bx")))
+        return m.join(one, "bucket").filter(fits).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+    def links_of(pairs: DataFrame) -> DataFrame:
         with small_batches(docs.sparkSession):
-            found = written(check(pairs, texts, percent), "links")
-        edges = found if edges is None else edges.unionByName(found)
+            return written(check(pairs, texts, percent), "links")
+
+    side = lambda d: d.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("bands").alias("bx"))
+    single = members.withColumn("label", F.col("node"))
+    rank = Window.partitionBy("bucket").orderBy(F.col("own") / F.col("n"), F.xxhash64("node"))
+    centres = single.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= CENTRES)
+    tested = written(pairs_of(single, side(centres)), "pairs")
+    edges = links_of(tested)
+    labels = components(edges)
+
+    m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = written(m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "split")
+    m = written(m.join(split, "bucket"), "open")
+    most = m.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"))
+    rest = m.join(most.select("bucket", F.col("top.label").alias("big")), "bucket").filter("label <> big")
+    pairs = written(pairs_of(m, side(rest)).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = links_of(pairs)
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
         labels = components(edges)
 
     # Name components by their smallest id; only classes with company have a row here.
