@@ -7,10 +7,13 @@
 2. Documents with equal sets are one class from here on.
 3. ``BANDS`` bands of ``ROWS`` bins give buckets.  At similarity 0.85 two sets
    share no bucket with a chance of (1 - 0.85**5)**25 = 4e-7.
-4. In buckets of more than ``WIDE`` classes, a class's own shingles (those that no
-   other class of such buckets has) bound what it can share: a pair is worth a
-   look only if its sizes and own shingles leave room for the link, and a class
-   with too many own shingles can't be linked at all.
+4. In buckets of more than ``WIDE`` classes, two exact bounds leave few pairs that
+   are near but not linked: own shingles (those that no other class of such
+   buckets has) must leave room for the link, and among the rarest shingles of
+   each, as many as a link can miss and one more, there must be a common one.
+   A class with too many own shingles can't be linked at all.  Before texts are
+   sent anywhere, a pair must also pass by its profiles: how many shingles fall
+   into each of some hundred slots bounds how many two sets can share.
 5. Star edges: in each bucket every class is paired with ``CENTRES`` centres, the
    classes with the smallest share of own shingles, so pairs grow with the
    members of buckets and not with their squares.  Pairs are checked on the full
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import small_batches, text_of, written
 
-WORDS, BANDS, ROWS, CENTRES, WIDE, PERCENT = 5, 25, 5, 4, 32, 85
+WORDS, BANDS, ROWS, CENTRES, WIDE, PERCENT = 5, 25, 5, 3, 32, 85
 BINS = 128
 _C = [np.uint64(c | 1) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _hash = xxhash.xxh3_64_intdigest
@@ -125,17 +128,59 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text_of("text")).alias("tk"), "text").mapInPandas(run, f"doc_id {kind}, tk long, n long, node binary, bands array<long>")
 
 
-def own_shingles(texts: DataFrame) -> DataFrame:
-    """(id, own): how many shingles of each class no other class of the table has; id hashes the node."""
+def rarest(texts: DataFrame, percent: int) -> DataFrame:
+    """(id, own, rare): how many shingles of each class no other class of the table has, and the rarest ones of which linked classes share one; id hashes the node."""
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "h": [shingles(t).view(np.int64) for t in pdf["text"]]})
 
     sets = texts.select(F.xxhash64("node").alias("id"), "text").mapInPandas(run, "id long, h array<long>")
-    # Of a shingle that one class has, the exclusive or of its classes is that class.
-    single = sets.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.bit_xor("id").alias("id")).filter("m = 1")
-    return single.groupBy("id").agg(F.count("*").alias("own"))
+    each = sets.select("id", F.explode("h").alias("h"))
+    # Written, so that the join has exchanges of its own and a shingle that many classes have can be split.
+    common = written(each.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "common")
+    each = each.join(common, "h", "left").select("id", F.coalesce("m", F.lit(1)).alias("m"), "h")
+    lists = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("s"))
+    n = F.size("s")
+    misses = n - F.ceil(n * percent / 100).cast("int")
+    return lists.select("id", F.size(F.filter("s", lambda x: x["m"] == 1)).alias("own"), F.slice(F.col("s.h"), 1, misses + 1).alias("rare"))
+
+
+def _profile(s: np.ndarray) -> bytes:
+    """How many shingles have the same leading bits; more bits for larger sets."""
+    bits = 8 if len(s) < 500 else 10 if len(s) < 4000 else 12
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32).tobytes()
+
+
+def may_link(a: bytes, b: bytes, percent: int) -> bool:
+    """False only if sets with these profiles can't be linked."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if len(x) != len(y):
+        n = min(len(x), len(y))
+        x, y = x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)
+    both = int(np.minimum(x, y).sum())
+    return 100 * both >= percent * (int(x.sum()) + int(y.sum()) - both)
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    """(node, profile) of every class."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "profile": [_profile(shingles(t)) for t in pdf["text"]]})
+
+    return texts.select("node", "text").mapInPandas(run, "node binary, profile binary")
+
+
+def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their profiles leave possible."""
+    left, right = (profile.select(F.col("node").alias(c), F.col("profile").alias(f"p{c}")) for c in "ab")
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.loc[[may_link(x, y, percent) for x, y in zip(pdf["pa"], pdf["pb"], strict=True)], ["a", "b"]]
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInPandas(run, "a binary, b binary")
 
 
 def check(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -201,10 +246,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = wanted.select("node", "wide", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tk").alias("tk"))
     keyed = docs.withColumn("tk", F.xxhash64(text_of("text")))
     same = (keyed["tk"] == wanted["tk"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])
-    texts = written(keyed.join(wanted, same).select("node", "wide", "text"), "texts")
+    # The same way for every size: no broadcast of what grows with the corpus.
+    texts = written(keyed.join(wanted.hint("merge"), same).select("node", "wide", "text"), "texts")
+    with small_batches(docs.sparkSession):
+        profile = written(profiles(texts), "profiles")
     # A repeated row would count its shingles twice.
-    own = written(own_shingles(texts.filter("wide").groupBy("node").agg(F.first("text").alias("text"))), "own")
-    members = near.withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"))
+    own = written(rarest(texts.filter("wide").groupBy("node").agg(F.first("text").alias("text")), percent), "own")
+    members = near.withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"), "rare")
     members = written(members.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "members")
 
     def pairs_of(m: DataFrame, one: DataFrame) -> DataFrame:
@@ -212,14 +260,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         least = F.greatest(F.col("n") + F.col("ox"), F.col("nx") + F.col("own"))
         fits = (F.col("label") != F.col("lx")) & (100 * room >= percent * least)
         # A pair comes from the first bucket that both share.
+        fits = fits & F.coalesce(F.arrays_overlap("rare", "rx"), F.lit(True))
         fits = fits & (F.col("bucket") == F.array_min(F.array_intersect("bands", "bx")))
         return m.join(one, "bucket").filter(fits).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
     def links_of(pairs: DataFrame) -> DataFrame:
         with small_batches(docs.sparkSession):
-            return written(check(pairs, texts, percent), "links")
+            return written(check(written(possible(pairs, profile, percent), "possible"), texts, percent), "links")
 
-    side = lambda d: d.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("bands").alias("bx"))
+    side = lambda d: d.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("bands").alias("bx"), F.col("rare").alias("rx"))
     single = members.withColumn("label", F.col("node"))
     rank = Window.partitionBy("bucket").orderBy(F.col("own") / F.col("n"), F.xxhash64("node"))
     centres = single.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= CENTRES)

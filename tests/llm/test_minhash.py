@@ -83,3 +83,12 @@ def test_signature_estimates_similarity():
     assert abs(same - 0.6) < 0.15
     small = minhash.signature(a[:3])
     assert len(small) == minhash.BINS and (small != minhash._EMPTY).all()
+
+
+def test_profiles_never_exclude_a_link():
+    r = np.random.default_rng(4)
+    for n in (3, 40, 480, 520, 3990, 4100):
+        a = np.unique(r.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate([a[: int(len(a) * 0.93)], r.integers(0, 2**64, n // 30, np.uint64)]))
+        assert not minhash.linked(a, b, 85) or minhash.may_link(minhash._profile(a), minhash._profile(b), 85)
+        assert minhash.may_link(minhash._profile(a), minhash._profile(a), 100)
