@@ -239,9 +239,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tk")).alias("rep")
     nodes = written(has.groupBy("node").agg(first, F.first("bands").alias("bands"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
 
-    spread = nodes.select(F.explode("bands").alias("bucket"), "node", "n", "bands")
+    spread = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
     sizes = written(spread.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
-    near = written(spread.join(sizes, "bucket"), "near")
+    near = written(spread.join(sizes.hint("merge"), "bucket"), "near")
     wanted = near.groupBy("node").agg((F.max("m") > WIDE).alias("wide")).join(nodes.select("node", "rep"), "node")
     wanted = wanted.select("node", "wide", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tk").alias("tk"))
     keyed = docs.withColumn("tk", F.xxhash64(text_of("text")))
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         profile = written(profiles(texts), "profiles")
     # A repeated row would count its shingles twice.
     own = written(rarest(texts.filter("wide").groupBy("node").agg(F.first("text").alias("text")), percent), "own")
-    members = near.withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"), "rare")
+    members = near.join(nodes.select("node", "bands"), "node").withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"), "rare")
     members = written(members.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "members")
 
     def pairs_of(m: DataFrame, one: DataFrame) -> DataFrame:
