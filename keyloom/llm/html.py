@@ -19,8 +19,8 @@ host "".  Repeated rows each give a row.  Equal votes: the path that sorts first
 Extra columns are ignored.
 
 Votes are one row a page, summed before the shuffle, so a host with a third of
-all pages is no hot task; pages meet their host's path in an equi-join whose
-large partitions AQE can split.
+all pages is no hot task; where pages meet their host's path, every host is
+spread over ``SPREAD`` keys.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SPREAD = 64
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
@@ -230,7 +231,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id, url, text) of every page."""
     paths = consensus(pages, url_col, html_col).withColumnRenamed("host", "_host")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("_host")).join(paths, "_host", "left")
+    d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("_host"))
+    # A host's pages go to SPREAD tasks; its path, one row, goes to each of them.
+    d = d.withColumn("_part", F.pmod(F.xxhash64("id", "html"), F.lit(SPREAD)).cast("int"))
+    paths = paths.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    d = d.join(paths, ["_host", "_part"], "left")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
