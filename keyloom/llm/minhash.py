@@ -7,11 +7,14 @@
 2. Documents with equal sets are one class from here on.
 3. ``BANDS`` bands of ``ROWS`` bins give buckets.  At similarity 0.85 two sets
    share no bucket with a chance of (1 - 0.85**5)**25 = 4e-7.
-4. In buckets of more than ``WIDE`` classes, two exact bounds leave few pairs that
-   are near but not linked: own shingles (those that no other class of such
-   buckets has) must leave room for the link, and among the rarest shingles of
-   each, as many as a link can miss and one more, there must be a common one.
-   A class with too many own shingles can't be linked at all.  Before texts are
+4. Between classes that both sit in a bucket of more than ``WIDE`` classes, two
+   exact bounds leave few pairs that are near but not linked: own shingles (those
+   that no other such class has) must leave room for the link, and among the
+   rarest shingles of each, as many as a link can miss and one more, there must be
+   a common one.  A class with too many own shingles can't be linked to any such
+   class, so it leaves the buckets of more than ``WIDE``, where all are such.
+   Classes of smaller buckets only were not counted: nothing is bounded against
+   them, and they meet at most ``WIDE`` in a bucket.  Before texts are
    sent anywhere, a pair must also pass by its profiles: how many shingles fall
    into each of some hundred slots bounds how many two sets can share.
 5. Star edges: in each bucket every class is paired with ``CENTRES`` centres, the
@@ -252,12 +255,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         profile = written(profiles(texts), "profiles")
     # A repeated row would count its shingles twice.
     own = written(rarest(texts.filter("wide").groupBy("node").agg(F.first("text").alias("text")), percent), "own")
-    members = near.join(nodes.select("node", "bands"), "node").withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"), "rare")
-    members = written(members.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "members")
+    members = near.join(nodes.select("node", "bands"), "node").withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"), "rare", "m")
+    members = written(members.filter((F.col("m") <= WIDE) | (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))).drop("m"), "members")
 
     def pairs_of(m: DataFrame, one: DataFrame) -> DataFrame:
-        room = F.least(F.col("n") - F.col("own"), F.col("nx") - F.col("ox"))
-        least = F.greatest(F.col("n") + F.col("ox"), F.col("nx") + F.col("own"))
+        # Own shingles were counted among wide classes, which alone have rare ones; they say nothing of others.
+        wide = F.col("rare").isNotNull() & F.col("rx").isNotNull()
+        own, ox = (F.when(wide, F.col(c)).otherwise(0) for c in ("own", "ox"))
+        room = F.least(F.col("n") - own, F.col("nx") - ox)
+        least = F.greatest(F.col("n") + ox, F.col("nx") + own)
         fits = (F.col("label") != F.col("lx")) & (100 * room >= percent * least)
         # A pair comes from the first bucket that both share.
         fits = fits & F.coalesce(F.arrays_overlap("rare", "rx"), F.lit(True))

@@ -59,6 +59,36 @@ def test_against_all_pairs(spark, monkeypatch, wide):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def straddling():
+    """Texts with a common template, and copies whose template part alone is edited: often one of two is in a wide bucket."""
+    r = random.Random(23)
+    word = lambda: f"w{r.randrange(10**6)}"
+    template = [word() for _ in range(140)]
+    out = [" ".join(template + [word() for _ in range(70)]) for _ in range(150)]
+    for _ in range(40):
+        text = template + [word() for _ in range(70)]
+        copy = list(text)
+        for i in (25, 70, 115):
+            copy[i] = word()
+        out += [" ".join(text), " ".join(copy)]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("wide", [8, 32])
+def test_links_between_wide_and_other_classes(spark, monkeypatch, wide):
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    rows = straddling()
+    sizes = {}
+    buckets = [minhash.bands(minhash.signature(minhash.shingles(t))).tolist() for _, t in rows]
+    for b in buckets:
+        for x in b:
+            sizes[x] = sizes.get(x, 0) + 1
+    is_wide = [max(sizes[x] for x in b) > wide for b in buckets]
+    assert any(is_wide[i] != is_wide[i + 1] for i in range(150, 230, 2))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+
+
 def test_sample_of_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
