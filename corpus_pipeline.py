@@ -6,7 +6,9 @@ columns of documents.
 
 * language: a text without letters can't be named and goes; a missing lang is
   filled with the prediction.
-* near_duplicates: one document of each group stays.
+* near_duplicates: one document of each group stays; two documents are linked from
+  a similarity of ``SIMILAR`` percent on, and a link at just that is missed with a
+  chance of (1 - 0.8**5)**25 = 5e-5.
 * benchmark: documents that hold a benchmark item go.
 * personal_data: spans are masked in the text; every document stays.
 * mixture: one row for each document that the mixture takes, with the number of
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from keyloom.llm import decontaminate, language, minhash, mixing, pii
 from keyloom.llm.common import written
 
+SIMILAR = 80
+
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = language.identify(docs, language.train(docs)).filter(F.col("lang_pred") != "und")
@@ -31,7 +35,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, SIMILAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,13 @@ def test_pipeline_stages(spark):
     assert not kept.filter(kept["text"].rlike(r"[a-z]+\.\d\d@mail\d\.example\.com")).count()
     mixed = corpus_pipeline.mixture(spark, kept, SF)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    words = [f"w{i}" for i in range(204)]
+    changed = lambda k: " ".join("x" if i in range(5, 10 * k, 10) else w for i, w in enumerate(words))
+    # 200 shingles, of which each changed word takes 5: similarity 180/220 = 0.82 with 4 words, 165/235 = 0.70 with 7.
+    rows = [(1, changed(0)), (2, changed(4)), (3, " ".join(f"v{i}" for i in range(50)))]
+    far = [(4, " ".join("y" if i in range(5, 70, 10) else w for i, w in enumerate(words)))]
+    kept = lambda r: sorted(x["doc_id"] for x in corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(r, "doc_id long, text string"), SF).collect())
+    assert kept(rows) == [1, 3] and kept([rows[0], *far]) == [1, 4]
