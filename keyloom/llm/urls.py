@@ -6,9 +6,9 @@ per character; a URL passes when it lies above a threshold calibrated on the
 same labelled URLs (where two normal distributions with the measured means and
 deviations err equally).
 
-A model holds counts of all character strings of up to ``ORDER`` + 1 and of
-their contexts, for all labelled rows, hashed into ``SLOTS`` counters: its size
-is fixed, so the whole of it can be one constant of the scoring expression.
+A model holds the counts of all character strings of up to ``ORDER`` + 1 and of
+their contexts, for all labelled rows.  They are exact and a table, so a model
+grows with what it is trained on; the grams of each distinct text are joined to it.
 Order k is smoothed with order k - 1: p_k = (n(ctx, c) + A p_{k-1}) / (n(ctx) + A).
 
 URL null or without ``://``: host and path empty, no rule, verdict block (there
@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import let, written
+from keyloom.llm.common import written
 
-ORDER, SLOTS, A = 4, 1 << 15, 1.0
+ORDER, A = 4, 1.0
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -51,40 +51,31 @@ def _grams(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit("\x02" * ORDER), text), F.lit(rf"(?s)(?=(.{{{ORDER + 1}}}))."), F.lit(1))
 
 
-def _slots(gram: Column) -> Column:
-    """For orders 0..ORDER: the counter of (context, character), then that of the context."""
-    out = []
+def model(grams: DataFrame) -> DataFrame:
+    """(gram, a, r) -> (gram, llr): counts in accepted and rejected texts to the log-likelihood ratio of the last character."""
+    out = None
     for k in range(ORDER + 1):
-        whole = F.substring(gram, ORDER + 1 - k, k + 1)
-        out += [F.pmod(F.xxhash64(F.lit(k), whole), F.lit(SLOTS)), F.pmod(F.xxhash64(F.lit(-1 - k), F.substring(whole, 1, k)), F.lit(SLOTS))]
-    return F.array(*out)
-
-
-def train(labelled: DataFrame) -> tuple[Column, Column]:
-    """(text, verdict) -> two constant arrays of SLOTS counts: accepted, rejected."""
-    each = labelled.select("verdict", F.explode(F.flatten(F.transform(_grams(F.col("text")), _slots))).alias("slot"))
-    ok = F.col("verdict") == "allow"
-    counts = each.groupBy("slot").agg(F.count_if(ok).alias("a"), F.count_if(~ok).alias("r"))
-    full = labelled.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left")
-    row = F.struct("slot", F.coalesce("a", F.lit(0)).cast("double").alias("a"), F.coalesce("r", F.lit(0)).cast("double").alias("r"))
-    sides = full.agg(F.sort_array(F.collect_list(row)).alias("m"))
-    row = sides.select(F.to_json(F.transform("m", lambda x: x["a"])).alias("a"), F.to_json(F.transform("m", lambda x: x["r"])).alias("r")).first()  # SLOTS numbers each
-    return F.from_json(F.lit(row["a"]), "array<double>"), F.from_json(F.lit(row["r"]), "array<double>")
-
-
-def ratio(text: Column, accepted: Column, rejected: Column) -> Column:
-    """Log-likelihood ratio per character; null for an empty text."""
-
-    def p(counts: Column, slots: Column) -> Column:
-        out = F.lit(1.0 / 256)
-        for k in range(ORDER + 1):
-            n = lambda i: F.get(counts, F.get(slots, F.lit(i)).cast("int"))  # noqa: E731, B023
-            out = (n(2 * k) + A * out) / (n(2 * k + 1) + A)
-        return out
-
-    slots = F.transform(_grams(text), _slots)
-    total = let(accepted, lambda a: let(rejected, lambda r: F.aggregate(slots, F.lit(0.0), lambda acc, s: acc + F.log(p(a, s)) - F.log(p(r, s)))))
-    return F.when(F.length(text) > 0, total / F.length(text))
+        n = grams.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("w")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        context = Window.partitionBy(F.substring("w", 1, k))
+        n = n.withColumn("na", F.sum("a").over(context)).withColumn("nr", F.sum("r").over(context))
+        if out is None:
+            n = n.withColumn("pa", F.lit(1.0 / 256)).withColumn("pr", F.lit(1.0 / 256))
+        else:
+            n = n.withColumn("shorter", F.substring("w", 2, k)).join(out.withColumnRenamed("w", "shorter"), "shorter")
+        p = lambda x: (F.col(x) + A * F.col(f"p{x}")) / (F.col(f"n{x}") + A)
+        out = written(n.select("w", p("a").alias("pa"), p("r").alias("pr")), "order")
+    return out.select(F.col("w").alias("gram"), (F.log("pa") - F.log("pr")).alias("llr"))
+
+
+def ratios(rows: DataFrame) -> DataFrame:
+    """(text, verdict) -> (text, score): log-likelihood ratio per character of each distinct text that isn't empty."""
+    texts = rows.filter("text <> ''").groupBy("text").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("r"))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    # Written, so that the join has exchanges of its own and a gram that many texts have can be split.
+    each = written(texts.select("id", "a", "r", F.explode(_grams(F.col("text"))).alias("gram")), "grams")
+    grams = written(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "counts")
+    scores = each.select("id", "gram").join(model(grams), "gram").groupBy("id").agg(F.avg("llr").alias("score"))
+    return texts.select("id", "text").join(scores, "id").select("text", "score")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -94,14 +85,13 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     which, verdict = rule_for(F.col("host"), F.col("path"), rules)
     d = d.withColumn("rule", which).withColumn("verdict", verdict).withColumn("text", F.concat("host", "path"))
     d = written(d, "urls")
-    labelled = d.filter(F.col("verdict").isNotNull())
-    accepted, rejected = train(labelled)
-    scored = labelled.select("verdict", ratio(F.col("text"), accepted, rejected).alias("score"))
+    d = d.join(written(ratios(d), "ratios"), "text", "left")
+    scored = d.filter(F.col("verdict").isNotNull())
     ok = F.col("verdict") == "allow"
     side = lambda f, c: f(F.when(c, F.col("score")))
     ma, mr, sa, sr = side(F.avg, ok), side(F.avg, ~ok), side(F.stddev_pop, ok), side(F.stddev_pop, ~ok)
     limit = scored.agg(F.coalesce((ma * sr + mr * sa) / F.nullif(sa + sr, F.lit(0.0)), (ma + mr) / 2).alias("limit")).first()["limit"]
-    score = F.when(F.col("rule").isNull(), ratio(F.col("text"), accepted, rejected))
+    score = F.when(F.col("rule").isNull(), F.col("score"))
     d = d.withColumn("score", score).withColumn("limit", F.lit(limit).cast("double"))
     says = F.when(F.length("text") == 0, "block").when(F.col("limit").isNull() | (F.col("score") >= F.col("limit")), "allow").otherwise("block")
     return d.select(id_col, "host", "path", "rule", F.coalesce("verdict", says).alias("verdict"), "score")

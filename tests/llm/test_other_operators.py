@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -114,6 +116,40 @@ def test_url_rules(spark):
         assert got[d]["verdict"] in ("allow", "block") and (best is None or got[d]["verdict"] == best[1])
 
 
+def _scores(texts):
+    """(text, verdict) by text: ratio per character, from exact counts of every (order, context, character)."""
+    seen = {"allow": {}, "block": {}}
+    runs = lambda t: [(t[max(0, i - urls.ORDER) : i].rjust(urls.ORDER, "\x02"), t[i]) for i in range(len(t))]
+    for t, verdict in texts:
+        for context, c in runs(t) if verdict else ():
+            for k in range(urls.ORDER + 1):
+                ctx, n = context[urls.ORDER - k :], seen[verdict]
+                n[k, ctx, c] = n.get((k, ctx, c), 0) + 1
+                n[k, ctx] = n.get((k, ctx), 0) + 1
+
+    def log_p(n, context, c):
+        p = 1 / 256
+        for k in range(urls.ORDER + 1):
+            ctx = context[urls.ORDER - k :]
+            p = (n.get((k, ctx, c), 0) + urls.A * p) / (n.get((k, ctx), 0) + urls.A)
+        return math.log(p)
+
+    return {t: sum(log_p(seen["allow"], *x) - log_p(seen["block"], *x) for x in runs(t)) / len(t) for t, _ in texts if t}
+
+
+def test_url_scores_from_exact_counts(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8))
+    hosts = ["a.example.net/en", "example.com/de", "b.org/fr", "b.net", "other.info"]
+    pages = [(i, f"http://{r.choice(hosts)}/{word()}/{word()}/{word()}") for i in range(1500)]
+    pages += pages[:40]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
+    want = _scores([(x["host"] + x["path"], x["rule"] and x["verdict"]) for x in got])
+    open_ = [x for x in got if x["rule"] is None]
+    assert len(got) == len(pages) and len(open_) > 100
+    assert all(abs(x["score"] - want[x["host"] + x["path"]]) < 1e-9 for x in open_)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
