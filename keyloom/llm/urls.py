@@ -11,9 +11,12 @@ their contexts, for all labelled rows.  They are exact and a table, so a model
 grows with what it is trained on; the grams of each distinct text are joined to it.
 Order k is smoothed with order k - 1: p_k = (n(ctx, c) + A p_{k-1}) / (n(ctx) + A).
 
-URL null or without ``://``: host and path empty, no rule, verdict block (there
-is nothing to judge).  If rules accept or reject no URL at all, the ratio has
-no threshold and the verdict is allow.  Repeated rows are judged alike.
+Models train on and score the whole URL as it stands, scheme, query and fragment
+too; host and path serve the rules only.  URL without ``://``: host and path
+empty, no rule, judged by its score.  URL null or empty: host and path empty, no
+rule, verdict block (there is nothing to judge).  If rules accept or reject no
+URL at all, the ratio has no threshold and the verdict is allow.  Repeated rows
+are judged alike.
 """
 
 from __future__ import annotations
@@ -81,9 +84,9 @@ def ratios(rows: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score); score is null where a rule decides."""
     host, path = parse(F.col(url_col))
-    d = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    d = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("text"))
     which, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    d = d.withColumn("rule", which).withColumn("verdict", verdict).withColumn("text", F.concat("host", "path"))
+    d = d.withColumn("rule", which).withColumn("verdict", verdict)
     d = written(d, "urls")
     d = d.join(written(ratios(d), "ratios"), "text", "left")
     scored = d.filter(F.col("verdict").isNotNull())

@@ -144,10 +144,21 @@ def test_url_scores_from_exact_counts(spark):
     pages = [(i, f"http://{r.choice(hosts)}/{word()}/{word()}/{word()}") for i in range(1500)]
     pages += pages[:40]
     got = urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
-    want = _scores([(x["host"] + x["path"], x["rule"] and x["verdict"]) for x in got])
+    url = dict(pages)
+    want = _scores([(url[x["page_id"]], x["rule"] and x["verdict"]) for x in got])
     open_ = [x for x in got if x["rule"] is None]
     assert len(got) == len(pages) and len(open_) > 100
-    assert all(abs(x["score"] - want[x["host"] + x["path"]]) < 1e-9 for x in open_)
+    assert all(abs(x["score"] - want[url[x["page_id"]]]) < 1e-9 for x in open_)
+
+
+def test_url_scores_cover_the_whole_url(spark):
+    pages = [(i, f"https://a.example.net/en/{i}?ref=good") for i in range(30)] + [(100 + i, f"https://a.net/{i}?ad=spam#x") for i in range(30)]
+    pages += [(200, "https://other.info/p?ref=good"), (201, "https://other.info/p?ad=spam#x"), (202, "example?ref=good"), (203, None), (204, "")]
+    got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert len(got) == len(pages) and got[200]["score"] > got[201]["score"]
+    assert [got[i]["verdict"] for i in (200, 201, 202, 203, 204)] == ["allow", "block", "allow", "block", "block"]
+    assert got[202]["score"] is not None and (got[202]["host"], got[202]["path"]) == ("", "")
+    assert got[203]["score"] is got[204]["score"] is None
 
 
 def test_pipeline_stages(spark):
