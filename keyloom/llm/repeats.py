@@ -22,7 +22,12 @@ so suffixes are sorted at anchors only, and anchors that can't matter go first.
    the group.  Its windows are counted one by one instead, by a 64-bit hash, with
    partial sums before the shuffle.  Both ways give the same answer.
 
-Pieces and the windows of hot pieces are compared by 64-bit hashes, texts by MD5.
+Beside the bytes, ``n_shared_words`` counts the words inside passages of
+``SHARED`` words that stand anywhere else too, white space aside: such a passage
+may have fewer than 400 bytes, which stay.  Its windows are found the same way
+from anchors among the words, and counted as in 5.
+
+Pieces and counted windows are compared by 64-bit hashes, texts by MD5.
 
 Text null or empty: no bytes, no spans.  Texts of fewer than 400 bytes keep all.
 Repeated rows are copies of each other.  Null ids are rows like others.  Empty
@@ -43,6 +48,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import small_batches, text_of, written
 
 LENGTH, PIECE, GRAM, HOT = 400, 208, 16, 500
+SHARED, WORD_PIECE, WORD_GRAM = 50, 26, 2
 BLOCK, RUN_BYTES = 1 << 19, 12 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -52,12 +58,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_SPACE = np.isin(np.arange(256), list(b"\x20\t\n\x0b\x0c\r"))
+
+
+def by_byte(data: bytes) -> np.ndarray:
+    return _mix((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _A)
+
+
+def by_word(data: bytes, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and how many words stand before each of the ends (which are white space or the end of data)."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[codes]
+    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    before = np.searchsorted(first, len(codes) if ends is None else ends)
+    if not len(first):
+        return np.zeros(0, np.uint64), before
+    place = np.arange(len(codes)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(codes)]])))
+    weight = np.multiply.accumulate(np.full(int(place.max()) + 1, _B | np.uint64(1)))
+    value = np.where(inside, (codes.astype(np.uint64) + np.uint64(1)) * _A, np.uint64(0))
+    return _mix(np.add.reduceat(value * weight[place], first)), before
+
+
 class Hashes:
-    """Hashes of the strings of some lengths at every byte; lengths are sums of powers of two."""
+    """Hashes of the strings of some lengths at every place; lengths are sums of powers of two."""
 
-    def __init__(self, data: bytes):
-        self.n = len(data)
-        self.of = {1: _mix((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _A)}
+    def __init__(self, base: np.ndarray):
+        self.of = {1: base}
 
     def power(self, size: int) -> np.ndarray:
         if size not in self.of:
@@ -69,14 +95,10 @@ class Hashes:
         n = max(0, min(len(a), len(b) - at))
         return _mix(a[:n] * _A + b[at : at + n])
 
-    def grams(self) -> np.ndarray:
-        return self.power(GRAM)
-
-    def pieces(self) -> np.ndarray:
-        return self.join(self.power(128), self.power(128), PIECE - 128)
-
-    def windows(self) -> np.ndarray:
-        return self.join(self.join(self.power(256), self.power(128), 256), self.power(16), 384)
+    def size(self, n: int) -> np.ndarray:
+        """Of n places: two overlapping powers of two hold them all."""
+        half = 1 << (n - 1).bit_length() - 1
+        return self.power(n) if n & (n - 1) == 0 else self.join(self.power(half), self.power(half), n - half)
 
 
 def _low(h: np.ndarray, width: int) -> np.ndarray:
@@ -88,30 +110,41 @@ def _low(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
 
 
-def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: piece hash, position and gap to the anchor before, of the anchors that can lead a window."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-    out = [none] * len(texts)
-    long = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
-    if not long:
-        return out
-    h = Hashes(b"".join(texts[i] for i in long))
-    g = h.grams()
-    width = PIECE - GRAM + 1
+def leading(h: Hashes, ends: np.ndarray, piece: int, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text (they follow each other and end at ``ends``): piece hash, position and gap to the anchor before, of the anchors that can lead a window; and where each text's begin."""
+    g, width = h.power(gram), piece - gram + 1
+    hashes = h.size(piece).view(np.int64)
+    if not len(hashes):
+        return hashes[:0], np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(len(ends) + 1, np.int64)
     low = _low(g, width)
     at = np.flatnonzero((low == g[: len(low)]) | (low == g[width - 1 :][: len(low)]))
-    piece = h.pieces().view(np.int64)
-    ends = np.cumsum([len(texts[i]) for i in long])
-    starts = ends - [len(texts[i]) for i in long]
-    cuts = np.searchsorted(at, np.concatenate([starts, ends[-1:]]))
-    for k, i in enumerate(long):
-        x = at[cuts[k] : cuts[k + 1]]
-        x = x[x + PIECE <= ends[k]]
-        pos = x - starts[k]
-        gap = np.diff(pos, prepend=-1)
-        use = pos + LENGTH - len(texts[i]) < gap
-        out[i] = (piece[x[use]], pos[use].astype(np.int32), gap[use].astype(np.int32))
-    return out
+    text = np.searchsorted(ends, at, "right")
+    ok = at + piece <= ends[text]
+    at, text = at[ok], text[ok]
+    size = np.diff(ends, prepend=0)
+    pos = at - (ends - size)[text]
+    new = np.diff(text, prepend=-1) > 0
+    gap = np.where(new, pos + 1, np.diff(pos, prepend=0))
+    use = pos + window - size[text] < gap
+    return hashes[at[use]], pos[use].astype(np.int32), gap[use].astype(np.int32), np.searchsorted(text[use], np.arange(len(ends) + 1))
+
+
+def anchors(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each text its anchors among bytes and, with positions below zero, among words; and its number of words."""
+    data = b" ".join(texts) + b" "
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    words, ends = by_word(data, stops)
+    n_words = np.diff(ends, prepend=0)
+    wp, wpos, wgap, wcut = leading(Hashes(words), ends, WORD_PIECE, WORD_GRAM, SHARED)
+    long = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
+    bp, bpos, bgap, bcut = leading(Hashes(by_byte(b"".join(texts[i] for i in long))), np.cumsum([len(texts[i]) for i in long]), PIECE, GRAM, LENGTH) if long else (wp[:0], wpos[:0], wgap[:0], np.zeros(1, np.int64))
+    row = dict(zip(long, range(len(long)), strict=True))
+    out = []
+    for i in range(len(texts)):
+        w = slice(wcut[i], wcut[i + 1])
+        b = slice(bcut[row[i]], bcut[row[i] + 1]) if i in row else slice(0, 0)
+        out.append((np.concatenate([bp[b], wp[w]]), np.concatenate([bpos[b], -1 - wpos[w]]), np.concatenate([bgap[b], wgap[w]])))
+    return out, n_words
 
 
 def _blocks(texts: list[bytes]):
@@ -126,18 +159,20 @@ def _blocks(texts: list[bytes]):
 
 
 def outlines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, n, sha, piece, pos, gap) for every document."""
+    """(doc_id, tk, n, words, sha, piece, pos, gap) for every document; a position below zero is one among words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             texts = [bytes(t) for t in pdf["text"]]
-            got = [a for part in _blocks(texts) for a in anchors(part)]
+            parts = [anchors(part) for part in _blocks(texts)]
+            got = [a for part, _ in parts for a in part]
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
                     "tk": [hashlib.md5(t).digest() for t in texts],
                     "n": np.array([len(t) for t in texts], np.int64),
+                    "words": np.concatenate([w for _, w in parts]) if parts else np.zeros(0, np.int64),
                     "sha": [hashlib.sha256(t).hexdigest() for t in texts],
                     "piece": [a[0] for a in got],
                     "pos": [a[1] for a in got],
@@ -145,7 +180,7 @@ def outlines(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", F.encode(text_of("text"), "UTF-8").alias("text")).mapInPandas(run, f"doc_id {kind}, tk binary, n long, sha string, piece array<long>, pos array<int>, gap array<int>")
+    return docs.select("doc_id", F.encode(text_of("text"), "UTF-8").alias("text")).mapInPandas(run, f"doc_id {kind}, tk binary, n long, words long, sha string, piece array<long>, pos array<int>, gap array<int>")
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -284,7 +319,7 @@ def windows_before(text: bytes, pos: int, gap: int, least: int) -> tuple[bytes,
 
 
 def runs_of(joined: DataFrame, ranges: int) -> DataFrame:
-    """Rows of three kinds: (range, run), (tk, pos, least, windows) of hot pieces, (tk, text) of texts still needed."""
+    """Rows of three kinds: (range, run), (tk, pos, least, windows) of hot pieces and of words, (tk, text) of texts still needed."""
 
     def run(batches):
         records: list[tuple] = []
@@ -304,13 +339,18 @@ def runs_of(joined: DataFrame, ranges: int) -> DataFrame:
         for pdf in batches:
             hot, texts = [], []
             for tk, text, copies, *cand in zip(*(pdf[c] for c in ("tk", "text", "copies", "piece", "pos", "gap", "hot")), strict=True):
-                text, tk, hashes = bytes(text), bytes(tk), None
+                text, tk, hashes, of_words = bytes(text), bytes(tk), None, None
                 if copies == 1:
                     texts.append((tk, text))
                 for piece, pos, gap, is_hot in zip(*(c.tolist() for c in cand), strict=True):
+                    if pos < 0:
+                        of_words = Hashes(by_word(text)[0]).size(SHARED).view(np.int64) if of_words is None else of_words
+                        last = min(-1 - pos, len(of_words) - 1)
+                        hot.append((tk, pos, -1 - pos - last, of_words[-pos - gap : last + 1][::-1]))
+                        continue
                     least = max(0, pos + LENGTH - len(text))
                     if is_hot:
-                        hashes = Hashes(text).windows().view(np.int64) if hashes is None else hashes
+                        hashes = Hashes(by_byte(text)).size(LENGTH).view(np.int64) if hashes is None else hashes
                         hot.append((tk, pos, least, hashes[pos - gap + 1 : pos - least + 1][::-1]))
                         continue
                     right, left = windows_before(text, pos, gap, least)
@@ -342,51 +382,59 @@ def merged_spans(runs: DataFrame) -> DataFrame:
     return runs.groupBy("range").applyInPandas(one, "tk binary, start long, end long")
 
 
-def hot_spans(hot: DataFrame) -> DataFrame:
-    """The same for hot pieces, by counting each window."""
-    each = hot.select("tk", "pos", "least", F.posexplode("windows").alias("i", "window"))
+def counted_spans(windows: DataFrame) -> DataFrame:
+    """The same for hot pieces and for words, by counting each window; spans of words start below zero, at -1 - word."""
+    each = windows.select("tk", "pos", "least", F.posexplode("windows").alias("i", "window"))
     # Written, so that the join has exchanges of its own and a window that many texts hold can be split.
     twice = written(each.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window"), "windows")
-    start = F.col("pos") - F.col("least") - F.col("i")
-    # One row for each anchor again, before the spans of a text meet.
-    return each.join(twice, "window").select("tk", start.cast("long").alias("start"), (start + LENGTH).cast("long").alias("end"))
+    of_word = F.col("pos") < 0
+    start = F.when(of_word, -1 - F.col("pos")).otherwise(F.col("pos")) - F.col("least") - F.col("i")
+    hit = each.join(twice, "window").select("tk", of_word.alias("of_word"), start.cast("long").alias("start"))
+    return hit.select("tk", F.when(F.col("of_word"), -1 - F.col("start")).otherwise(F.col("start")).alias("start"), (F.col("start") + F.when(F.col("of_word"), SHARED).otherwise(LENGTH)).alias("end"))
+
+
+def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans joined where they meet or overlap."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 def kept(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(tk, n_removed, n_spans, kept_sha) of the texts with spans."""
+    """(tk, n_removed, n_spans, kept_sha, n_shared_words) of the texts with spans."""
     lists = spans.groupBy("tk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for text, starts, ends in zip(pdf["text"], pdf["start"], pdf["end"], strict=True):
-                text = bytes(text)
-                h, at, removed, n = hashlib.sha256(), 0, 0, 0
-                for start, end in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-                    if start > at or n == 0:
-                        h.update(text[at:start])
-                        n += 1
-                        removed += end - start
-                        at = end
-                    elif end > at:
-                        removed += end - at
-                        at = end
+                text, at, h = bytes(text), 0, hashlib.sha256()
+                both = sorted(zip(starts.tolist(), ends.tolist(), strict=True))
+                gone = covered([x for x in both if x[0] >= 0])
+                for start, end in gone:
+                    h.update(text[at:start])
+                    at = end
                 h.update(text[at:])
-                rows.append((removed, n, h.hexdigest()))
-            yield pd.DataFrame({"tk": pdf["tk"], "n_removed": [r[0] for r in rows], "n_spans": [r[1] for r in rows], "kept_sha": [r[2] for r in rows]})
+                shared = covered(sorted((-1 - a, b) for a, b in both if a < 0))
+                rows.append((sum(b - a for a, b in gone), len(gone), h.hexdigest(), sum(b - a for a, b in shared)))
+            yield pd.DataFrame({"tk": pdf["tk"], **{c: [r[i] for r in rows] for i, c in enumerate(("n_removed", "n_spans", "kept_sha", "n_shared_words"))}})
 
-    return texts.join(lists, "tk").select("tk", "text", "spans.start", "spans.end").mapInPandas(run, "tk binary, n_removed long, n_spans long, kept_sha string")
+    return texts.join(lists, "tk").select("tk", "text", "spans.start", "spans.end").mapInPandas(run, "tk binary, n_removed long, n_spans long, kept_sha string, n_shared_words long")
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, n_shared_words) for every document."""
     spark = docs.sparkSession
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with small_batches(spark):
         a = written(outlines(docs.select("doc_id", "text")), "outlines")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep")
     first = F.first(F.struct("piece", "pos", "gap")).alias("x")
-    classes = written(a.groupBy("tk").agg(F.count("*").alias("copies"), rep, F.first("n").alias("n"), first), "classes")
+    classes = written(a.groupBy("tk").agg(F.count("*").alias("copies"), rep, F.first("n").alias("n"), F.first("words").alias("words"), first), "classes")
     each = classes.select("tk", F.inline(F.arrays_zip("x.piece", "x.pos", "x.gap")))
     counts = each.groupBy("piece").agg(F.count("*").alias("m")).filter("m > 1").select("piece", (F.col("m") > hot).alias("hot"))
     counts = written(counts, "pieces")  # as with the windows, so that the join below can be split
@@ -397,13 +445,16 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     with small_batches(spark):
         work = written(runs_of(joined, ranges), "runs")
     spans = merged_spans(work.filter("range IS NOT NULL").select("range", "run"))
-    spans = spans.unionByName(hot_spans(work.filter("windows IS NOT NULL").select("tk", "pos", "least", "windows")))
+    spans = spans.unionByName(counted_spans(work.filter("windows IS NOT NULL").select("tk", "pos", "least", "windows")))
     some = kept(work.filter("text IS NOT NULL").select("tk", "text"), spans)
-    empty = hashlib.sha256(b"").hexdigest()
-    whole = classes.filter((F.col("copies") > 1) & (F.col("n") >= LENGTH)).select("tk", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha"))
+    long, many = F.col("n") >= LENGTH, F.col("words") >= SHARED
+    none = hashlib.sha256(b"").hexdigest()
+    number = lambda c, v: F.when(c, v).otherwise(0).cast("long")
+    whole = classes.filter((F.col("copies") > 1) & (long | many)).select("tk", number(long, F.col("n")).alias("n_removed"), number(long, F.lit(1)).alias("n_spans"), F.when(long, none).alias("kept_sha"), number(many, F.col("words")).alias("n_shared_words"))
     out = a.select("doc_id", "tk", "n", "sha").join(some.unionByName(whole), "tk", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", F.col("n").alias("n_bytes"), zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+    out = out.select("doc_id", F.col("n").alias("n_bytes"), zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), zero("n_shared_words"))
+    return out.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

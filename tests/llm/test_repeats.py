@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -20,12 +21,26 @@ def brute(texts, length=repeats.LENGTH):
     return out
 
 
+def shared_words(texts, words=repeats.SHARED):
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    seen = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    out = []
+    for w in split:
+        hit = set()
+        for i in range(len(w) - words + 1):
+            if seen[tuple(w[i : i + words])] > 1:
+                hit.update(range(i, i + words))
+        out.append(len(hit))
+    return out
+
+
 def corpus(seed=3):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghé𝒳") for _ in range(r.randint(1, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
     shared = [prose(n) for n in (60, 75, 90, 150, 400)]
-    docs = ["", "short", "a" * 399, "a" * 400, "b" * 1500, "ab" * 700, prose(900)]
+    few = " ".join(r.choice("abcdefgh") for _ in range(70))  # over 50 words in fewer than 400 bytes
+    docs = [few + " x y", "z  " + few.replace(" ", "\n"), "", "short", "a" * 399, "a" * 400, "b" * 1500, "ab" * 700, prose(900)]
     docs += [docs[-1], docs[-1], prose(30) + docs[-1][:800] + prose(3) + docs[-1][795:2000]]
     for i in range(60):
         parts = [prose(r.randint(0, 120))]
@@ -41,19 +56,22 @@ def corpus(seed=3):
 @pytest.mark.parametrize("hot", [0, 4, 500])
 def test_against_all_windows(spark, hot):
     docs = corpus()
-    rows = [(i if i != 5 else None, t, i) for i, t in enumerate(docs)] + [(900, None, 0)]
-    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n long"), hot=hot).collect()}
-    want = brute([(t or "").encode() for _, t, _ in rows])
+    rows = [(i if i != 7 else None, t, i) for i, t in enumerate(docs)] + [(900, None, 0)]
+    got = {r["doc_id"]: tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n long"), hot=hot).collect()}
+    texts = [(t or "").encode() for _, t, _ in rows]
+    want = brute(texts)
+    words = shared_words(texts)
     assert len(got) == len(rows)
-    for (d, _, _), w in zip(rows, want, strict=True):
-        assert got[d] == w, d
+    for (d, _, _), w, n in zip(rows, want, words, strict=True):
+        assert got[d] == (d, *w, n, w[0] - w[1]), d
+    assert any(n and not w[1] for w, n in zip(want, words, strict=True)) and any(w[1] and not n for w, n in zip(want, words, strict=True))
     assert sum(w[1] for w in want) > 20000
 
 
 def test_repeated_rows_and_empty_table(spark):
     text = "xyz " * 50 + "".join(chr(97 + i * i % 23) for i in range(500))
     rows = [(1, text), (1, text), (2, "q"), (2, text[5:] + "!")]
-    got = sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = sorted(tuple(r)[:5] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = sorted((d, *w) for (d, _), w in zip(rows, brute([t.encode() for _, t in rows]), strict=True))
     assert got == want
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
