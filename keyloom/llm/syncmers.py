@@ -1,24 +1,29 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text is read as symbols: pieces of up to three characters of each word, from
-its start, white space left out.  A k-mer of ``K`` symbols is chosen when the
-smallest hash among its symbols (its inner substrings of length one) is its
-first or its last.  That depends on the k-mer alone, so equal passages give equal
-choices wherever they stand, and any 2 * K - 2 symbols hold at least one.  A
-fingerprint is the ``SIZE`` smallest distinct hashes of a text's chosen k-mers,
-six bytes each, in base64; a text in which nothing is chosen (it is short) has
-the hash of the whole.  Likeness is the share of common hashes among the
-``SIZE`` smallest of both.
-
-The next document is found inside blocks of neighbouring ids: block bounds are
-quantiles of the ids, each block also gets the first row of the next one, and
-one exchange by block serves both windows.
+A k-mer of ``K`` characters is chosen when the smallest hash among its inner
+substrings of ``S`` characters is that of its first or its last one.  That
+depends on the k-mer alone, so equal passages give equal anchors wherever they
+stand, in any script and with or without spaces, and two neighbouring anchors
+are at most ``K - S`` apart.  A fingerprint holds all anchors of a text in
+order: for each a hash of six bytes and the distance to the one before in one
+byte, in base64; ``anchors`` gives their offsets.  A text in which nothing is
+chosen (it has fewer than ``K`` characters) has the hash of the whole.  Likeness
+is the share of common hashes among the distinct hashes of both.
+
+Texts are cut into chunks that overlap by ``K - 1`` characters, so the work
+arrays are small however long a text is.  An edited text keeps the anchors of
+its unchanged start; only the rest is read again.
+
+The next document is found inside blocks of neighbouring rows in the order of
+(doc_id, hash of the text): block bounds are quantiles of the ids, an id that
+fills several blocks is split by the hash, each block also gets the first row of
+the next one, and one exchange by block serves both windows.
 
 Text null counts as empty; empty text: empty fingerprint, like an empty one (1)
 and like no other (0).  Null ids come first; of rows that repeat an id, that
-with the smaller text hash comes first, and equal rows are interchangeable.  A
-table of one row is its own next document.  Empty table: empty result.  Extra
-columns are ignored.
+with the smaller text hash comes first, and equal rows are interchangeable
+(copies of one row with one id share a block).  A table of one row is its own
+next document.  Empty table: empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,81 +35,84 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import let, text_of
 
-K, SIZE = 6, 128
-_HEX = 12  # digits of a hash in a fingerprint
+K, S, CHUNK = 40, 8, 160
+_INNER = K - S + 1
+_LEAST = -(1 << 63)
+_ANCHORS = "array<struct<pos:int,hash:bigint>>"
 
 
-def _chosen(h: Column) -> Column:
-    """Positions of the chosen k-mers, ascending, from the hashes of all symbols."""
+def _edge(h: Column, i: Column) -> Column:
+    """Whether the smallest of the hashes i .. i + _INNER - 1 is the first or the last; decided by the first larger one in most cases."""
+    at = lambda j: F.get(h, i + j)
+    first, last = at(0), at(_INNER - 1)
+    is_first, is_last = first <= last, last <= first
+    for j in reversed(range(1, _INNER - 1)):
+        is_first, is_last = (first <= at(j)) & is_first, (last <= at(j)) & is_last
+    return is_first | is_last
 
-    def edge(i: Column) -> Column:
-        at = lambda j: F.get(h, i + j)
-        first, last = at(0), at(K - 1)
-        is_first, is_last = first <= at(1), last <= at(0)
-        for j in range(2, K):
-            is_first = is_first & (first <= at(j))
-        for j in range(1, K - 1):
-            is_last = is_last & (last <= at(j))
-        return is_first | is_last
 
-    n = F.size(h) - K
-    return F.when(n >= 0, F.filter(F.sequence(F.lit(0), n), edge)).otherwise(F.array().cast("array<int>"))
+def anchors(text: Column) -> Column:
+    """array<struct<pos, hash>>: the chosen k-mers of a text, by position."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{CHUNK + K - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
 
+    def of(c: Column, k: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(1), F.length(c) - (S - 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(S))))
+        chosen = let(inner, lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - _INNER), lambda i: _edge(h, i)))
+        found = F.transform(chosen, lambda i: F.struct((k * CHUNK + i).alias("pos"), F.shiftrightunsigned(F.xxhash64(F.substring(c, i + 1, F.lit(K))), 16).alias("hash")))
+        return F.when(F.length(c) >= K, found).otherwise(F.array().cast(_ANCHORS))
 
-def _smallest(hashes: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIZE)
+    return F.flatten(F.transform(pieces, of))
 
 
-def sketch(text: Column) -> Column:
-    """The smallest 48-bit hashes of the chosen k-mers, ascending; empty when nothing is chosen."""
-    symbols = F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,3}"), F.lit(0)), lambda x: F.xxhash64(x))
-    kmer = lambda h, i: F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + j) for j in range(K)]), 16)
-    return let(symbols, lambda h: _smallest(F.transform(_chosen(h), lambda i: kmer(h, i))))
+def _or_whole(found: Column, text: Column) -> Column:
+    whole = F.struct(F.lit(0).alias("pos"), F.shiftrightunsigned(F.xxhash64(text), 16).alias("hash"))
+    return let(found, lambda x: F.when((F.size(x) > 0) | (F.length(text) == 0), x).otherwise(F.array(whole).cast(_ANCHORS)))
 
 
-def _or_whole(hashes: Column, text: Column) -> Column:
-    whole = F.when(F.length(text) > 0, F.array(F.shiftrightunsigned(F.xxhash64(text), 16))).otherwise(F.array().cast("array<bigint>"))
-    return let(hashes, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
+def packed(found: Column) -> Column:
+    """The fingerprint string of a text's anchors."""
+    gap = lambda x, i: x["pos"] - F.when(i > 0, F.get(found, i - 1)["pos"]).otherwise(0)
+    each = F.transform(found, lambda x, i: F.lpad(F.hex(F.shiftleft(x["hash"], 8) + gap(x, i)), 14, "0"))
+    return F.base64(F.unhex(F.array_join(each, "")))
 
 
-def packed(hashes: Column) -> Column:
-    return F.base64(F.unhex(F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x), _HEX, "0")), "")))
+def hashes(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the smallest hashes of both that both have; both ascending and distinct."""
-    both = _smallest(F.concat(a, b))
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, 1.0).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
+    """Share of the hashes of both that both have; both distinct."""
+    shared = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, 1.0).otherwise(shared / F.greatest(both - shared, F.lit(1)))
 
 
 def fingerprint(text: Column) -> Column:
     t = text_of(text)
-    return packed(_or_whole(sketch(t), t))
+    return let(_or_whole(anchors(t), t), packed)
 
 
-def _bounds(docs: DataFrame, blocks: int) -> list[int]:
-    """At most ``blocks`` - 1 ascending ids that part the table into blocks of about equal size."""
+def _bounds(docs: DataFrame, blocks: int) -> list[tuple[int, int]]:
+    """Fewer than ``blocks`` ascending bounds (id, hash) that part the table into blocks of about equal size."""
     share = [i / blocks for i in range(1, blocks)]
-    got = docs.agg(F.percentile_approx("doc_id", share, 10 * blocks).alias("q")).first()["q"] if share else None
-    return sorted(set(got or []))
+    known = F.coalesce("doc_id", F.lit(_LEAST))
+    got = docs.agg(F.percentile_approx(known, share, 10 * blocks).alias("q")).first()["q"] if share else None
+    out: list[tuple[int, int]] = []
+    for q in sorted(set(got or [])):
+        times = got.count(q)
+        out += [(q, _LEAST + j * ((1 << 64) // times)) for j in range(times)]
+    return out
 
 
-def _block(bounds: list[int]) -> Column:
-    """How many bounds are at or below the id, by binary search."""
-    known = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
-    at, step = F.lit(0), 1
-    while step * 2 <= len(bounds):
-        step *= 2
+def _block(bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds are at or below the row, by binary search."""
     if not bounds:
         return F.lit(0)
-    key = F.col("doc_id").cast("bigint")
-    steps = []
-    while step:
-        steps.append(step)
-        step //= 2
-    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(known, acc + s - 1) <= key), acc + s).otherwise(acc))
-    return F.coalesce(F.when(key.isNull(), 0).otherwise(at), F.lit(0))
+    known = F.from_json(F.lit(json.dumps([{"i": i, "t": t} for i, t in bounds])), "array<struct<i:bigint,t:bigint>>")
+    row = F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("i"), F.col("tie").alias("t"))
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    step = lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(known, acc + s - 1) <= row), acc + s).otherwise(acc)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
 def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -114,7 +122,7 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text"))
     bounds = _bounds(slim, blocks)
-    rows = slim.withColumn("block", _block(bounds)).withColumn("tie", F.xxhash64("text"))
+    rows = slim.withColumn("tie", F.xxhash64("text")).withColumn("block", _block(bounds))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
     # A row of two numbers for each block, whatever the table holds.
     firsts = sorted(rows.groupBy("block").agg(F.min(order).alias("f")).collect(), key=lambda r: r["block"])
@@ -136,23 +144,28 @@ def edited(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     order = Window.partitionBy("block").orderBy("last", F.col("doc_id").asc_nulls_first(), "tie")
     d = with_next(docs, blocks).withColumn("next", F.lead("text").over(order))
     n = F.length("text")
-    d = d.withColumn("n", n).withColumn("m", F.floor(n / 4).cast("int"))
-    d = d.withColumn("new", F.when(F.col("next").isNotNull(), F.col("next").substr(F.lit(1), F.col("m"))).otherwise(""))
-    d = d.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("n") - F.col("m")), "new"))
-    same = F.col("last") | (F.col("m") == 0)
-    d = d.withColumn("fp", _or_whole(sketch(F.col("text")), F.col("text")))
-    d = d.withColumn("edited_fp", F.when(same, F.col("fp")).otherwise(_or_whole(sketch(F.col("edited")), F.col("edited"))))
-    d = d.select("doc_id", "block", "tie", "last", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fp", "edited_fp")
-    d = d.withColumn("next_fp", F.lead("fp").over(order)).filter(~F.col("last"))
-    return d.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
+    d = d.withColumn("n", n).withColumn("same", n - F.floor(n / 4).cast("int"))
+    d = d.withColumn("new", F.coalesce(F.when(~F.col("last"), F.col("next").substr(F.lit(1), F.col("n") - F.col("same"))), F.lit("")))
+    d = d.withColumn("start", F.substring("text", F.lit(1), F.col("same"))).withColumn("edited", F.concat("start", "new"))
+    d = d.withColumn("base", F.greatest(F.lit(0), F.col("same") - (K - 1)))
+    d = d.withColumn("tail", F.when(F.col("new") == "", F.lit("")).otherwise(F.concat(F.substring("start", F.col("base") + 1, F.lit(K - 1)), "new")))
+    d = d.withColumn("own", anchors(F.col("text"))).withColumn("end", anchors(F.col("tail")))
+    d = d.withColumn("fp", _or_whole(F.col("own"), F.col("text")))
+    unchanged = F.filter("own", lambda x: x["pos"] <= F.col("same") - K)
+    moved = F.transform("end", lambda x: F.struct((x["pos"] + F.col("base")).alias("pos"), x["hash"].alias("hash")))
+    d = d.withColumn("edited_fp", _or_whole(F.concat(unchanged, moved), F.col("edited")))
+    d = d.select(
+        *("doc_id", "block", "tie", "last"),
+        F.col("n").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         packed(F.col("fp")).alias("fingerprint"),
         packed(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        hashes(F.col("fp")).alias("fp"),
+        hashes(F.col("edited_fp")).alias("edited_fp"),
     )
+    d = d.withColumn("near_edited", likeness(F.col("fp"), F.col("edited_fp"))).drop("edited_fp")
+    d = d.withColumn("next_fp", F.lead("fp").over(order)).filter(~F.col("last"))
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import random
 
+import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm import syncmers
@@ -31,16 +34,62 @@ def test_edited_texts_and_likeness(spark):
     assert got[70]["near_next"] == 1.0  # the last one's next is the first
 
 
-def test_choices_are_closed_syncmers(spark):
-    text = " ".join(f"w{i * 7919 % 1000:03d}" for i in range(60))
-    row = frame(spark, [(1, text)])
-    symbols = [w[i : i + 3] for w in text.split() for i in range(0, len(w), 3)]
-    h = [r[0] for r in row.sparkSession.createDataFrame([(s,) for s in symbols], "s string").select(F.xxhash64("s")).collect()]
-    kmers = [h[i : i + syncmers.K] for i in range(len(h) - syncmers.K + 1)]
-    want = [i for i, w in enumerate(kmers) if min(w) in (w[0], w[-1])]
-    at = F.transform(F.regexp_extract_all("text", F.lit(r"\S{1,3}"), F.lit(0)), lambda x: F.xxhash64(x))
-    assert row.select(syncmers._chosen(at)).first()[0] == want
-    assert max(b - a for a, b in zip(want, want[1:], strict=False)) <= syncmers.K - 1
+def brute(text):
+    """(offset, hash) of every closed syncmer, from the definition."""
+    h = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    out = []
+    for i in range(len(text) - syncmers.K + 1):
+        inner = [signed(h(text[j : j + syncmers.S])) for j in range(i, i + syncmers.K - syncmers.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, h(text[i : i + syncmers.K]) >> 16))
+    return out
+
+
+def unpack(fingerprint):
+    data, at, out = base64.b64decode(fingerprint), 0, []
+    for i in range(0, len(data), 7):
+        at += data[i + 6]
+        out.append((at, int.from_bytes(data[i : i + 6], "big")))
+    return out
+
+
+def samples():
+    r = random.Random(4)
+    spaced = " ".join("".join(r.choice("abcdefghé𝒳") for _ in range(r.randint(1, 9))) for _ in range(300))
+    solid = "".join(r.choice("天地玄黃宇宙洪荒日月盈昃辰宿列張") for _ in range(1500))
+    return [spaced, solid, solid[: syncmers.K], solid[: syncmers.K - 1], "a" * 700, spaced[:199], spaced[:200], "x\ny" * 90, ""]
+
+
+def test_all_anchors_are_the_closed_syncmers(spark):
+    texts = samples()
+    got = {r["doc_id"]: r["f"] for r in frame(spark, enumerate(texts)).select("doc_id", syncmers.fingerprint(F.col("text")).alias("f")).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t) or ([(0, xxhash.xxh64_intdigest(t.encode(), 42) >> 16)] if t else [])
+        assert unpack(got[i]) == want, i
+        assert all(b[0] - a[0] <= syncmers.K - syncmers.S for a, b in zip(want, want[1:], strict=False))
+
+
+def test_anchors_do_not_depend_on_what_stands_before(spark):
+    for t in samples()[:2]:
+        rows = frame(spark, [(1, t), (2, "q" + t), (3, t[:700] + "Z" + t[700:])])
+        got = {r["doc_id"]: dict((h, at) for at, h in unpack(r["f"])) for r in rows.select("doc_id", syncmers.fingerprint(F.col("text")).alias("f")).collect()}
+        assert set(got[1]) <= set(got[2]) and len(set(got[2]) - set(got[1])) <= 1
+        assert all(got[2][h] == at + 1 for h, at in got[1].items())
+        assert len(set(got[1]) & set(got[3])) > 0.9 * len(got[1])
+
+
+def test_edits_and_likeness_against_brute_force(spark):
+    texts = [*samples(), *samples()[:3]]
+    rows = syncmers.edited(frame(spark, enumerate(texts)), blocks=4).collect()
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    of = lambda t: {h for _, h in brute(t)} or ({xxhash.xxh64_intdigest(t.encode(), 42) >> 16} if t else set())
+    for r in rows:
+        t, nxt = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        e = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert {h for _, h in unpack(r["edited_fingerprint"])} == of(e)
+        assert abs(r["near_edited"] - near(of(t), of(e))) < 1e-12 and abs(r["near_next"] - near(of(t), of(nxt))) < 1e-12
 
 
 def test_odd_tables(spark):
@@ -52,6 +101,10 @@ def test_odd_tables(spark):
     assert len(got) == len(rows)
     again = syncmers.edited(frame(spark, rows), blocks=2).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    hot = [(d, f"text {i} " * 20) for i in range(40) for d in (None, 7)]
+    one, many = (sorted(map(str, syncmers.edited(frame(spark, hot), blocks=b).collect())) for b in (1, 16))
+    assert one == many and len(many) == 80
+    assert len({r["block"] for r in syncmers.with_next(frame(spark, hot), 16).collect()}) > 8
 
 
 def test_blocks_do_not_matter(spark):
