@@ -36,7 +36,7 @@ def test_mixing_targets_and_bounds(spark):
         by.setdefault(r["source"], []).append(r)
     assert abs(sum(v[0]["target"] for v in by.values()) - total) < 1e-6 * total
     for v in by.values():
-        assert abs(sum(r["taken"] for r in v) - v[0]["target"]) <= max(r["size"] for r in v) / 2 + 1
+        assert abs(sum(r["taken"] for r in v) - v[0]["target"]) <= 0.03 * v[0]["target"] + 2
     odd = [(1, None, None), (1, "a b", "s"), (1, "a b", "s"), (None, "c", None), (2, "", "t")]
     assert mixing.mix(spark.createDataFrame(odd, "doc_id long, text string, source string")).count() == 5
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
@@ -47,6 +47,34 @@ def test_mixing_does_not_depend_on_bins(spark):
     assert mixing.mix(docs, bins=1).exceptAll(mixing.mix(docs, bins=300)).count() == 0
 
 
+def test_mixing_inclusion_frequencies(spark):
+    """Over many seeds each document is drawn as often as its own probability says, and a source always draws as many."""
+    r = random.Random(5)
+    rows = [(i, "w " * r.choice([3, 5, 6, 7, 9, 10, 11, 13, 14, 17]), "abc"[i % 7 % 3]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    want = {x["doc_id"]: x for x in mixing.inclusion(docs).collect()}
+    assert len({x["p"] for x in want.values() if 0 < x["p"]}) > 8
+    seeds, drawn, numbers = 16, {}, {}
+    for seed in range(seeds):
+        for x in mixing.mix(docs, seed=seed, bins=4).collect():
+            more = x["copies"] - want[x["doc_id"]]["certain"]
+            drawn[x["doc_id"]] = drawn.get(x["doc_id"], 0) + more
+            numbers[seed, x["source"]] = numbers.get((seed, x["source"]), 0) + more
+    for s in "abc":
+        assert len({n for (_, t), n in numbers.items() if t == s}) == 1  # a fixed size, whatever is drawn
+    planned = {(x["source"], x["class"]): x["draws"] for x in mixing.draws(mixing.inclusion(docs)).collect()}
+    classes = {}
+    for d, x in want.items():
+        c = classes.setdefault((x["source"], x["class"]), [0, 0.0])
+        c[0], c[1] = c[0] + drawn[d], c[1] + x["p"] / mixing.BILLION
+    for c, (k, expected) in classes.items():
+        assert k == seeds * planned[c] and abs(planned[c] - expected) < 2
+    for d, x in want.items():
+        n, total = planned[x["source"], x["class"]], classes[x["source"], x["class"]][1]
+        p = min(1.0, x["p"] / mixing.BILLION * n / total) if total else 0.0
+        assert abs(drawn[d] / seeds - p) < 0.05 + 4.5 * math.sqrt(max(p * (1 - p), 0.01) / seeds), (d, drawn[d], p)
+
+
 def _edits(item, text):
     """Least edits of the item against any part of the text."""
     row = [0] * (len(text) + 1)
