@@ -25,7 +25,8 @@ so suffixes are sorted at anchors only, and anchors that can't matter go first.
 Beside the bytes, ``n_shared_words`` counts the words inside passages of
 ``SHARED`` words that stand anywhere else too, white space aside: such a passage
 may have fewer than 400 bytes, which stay.  Its windows are found the same way
-from anchors among the words, and counted as in 5.
+from anchors among the words, and counted piece by piece, or as in 5 where the
+piece is hot.
 
 Pieces and counted windows are compared by 64-bit hashes, texts by MD5.
 
@@ -45,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import small_batches, text_of, written
+from keyloom.llm.common import discard, small_batches, text_of, written
 
 LENGTH, PIECE, GRAM, HOT = 400, 208, 16, 500
 SHARED, WORD_PIECE, WORD_GRAM = 50, 26, 2
@@ -319,25 +320,28 @@ def windows_before(text: bytes, pos: int, gap: int, least: int) -> tuple[bytes,
 
 
 def runs_of(joined: DataFrame, ranges: int) -> DataFrame:
-    """Rows of three kinds: (range, run), (tk, pos, least, windows) of hot pieces and of words, (tk, text) of texts still needed."""
+    """Rows of four kinds: (range, run), (range, tk, pos, least, windows) of words, the same without range of hot pieces, (tk, text) of texts still needed."""
 
     def run(batches):
         records: list[tuple] = []
         size = 0
 
+        def rows(**columns):
+            return pd.DataFrame({c: columns.get(c) for c in ("range", "run", "tk", "pos", "least", "windows", "text")})
+
         def flush():
             records.sort()
-            begin, rows = 0, []
+            begin, out = 0, []
             parts = [(int.from_bytes(r[0][:8], "big") * ranges) >> 64 for r in records]
             for i in range(1, len(records) + 1):
                 if i == len(records) or parts[i] != parts[begin]:
-                    rows.append((parts[begin], pack(records[begin:i])))
+                    out.append((parts[begin], pack(records[begin:i])))
                     begin = i
             records.clear()
-            return pd.DataFrame({"range": [x for x, _ in rows], "run": [x for _, x in rows], "tk": None, "pos": None, "least": None, "windows": None, "text": None})
+            return rows(range=[x for x, _ in out], run=[x for _, x in out])
 
         for pdf in batches:
-            hot, texts = [], []
+            counted, texts = [], []
             for tk, text, copies, *cand in zip(*(pdf[c] for c in ("tk", "text", "copies", "piece", "pos", "gap", "hot")), strict=True):
                 text, tk, hashes, of_words = bytes(text), bytes(tk), None, None
                 if copies == 1:
@@ -346,12 +350,12 @@ def runs_of(joined: DataFrame, ranges: int) -> DataFrame:
                     if pos < 0:
                         of_words = Hashes(by_word(text)[0]).size(SHARED).view(np.int64) if of_words is None else of_words
                         last = min(-1 - pos, len(of_words) - 1)
-                        hot.append((tk, pos, -1 - pos - last, of_words[-pos - gap : last + 1][::-1]))
+                        counted.append((None if is_hot else piece % ranges, tk, pos, -1 - pos - last, of_words[-pos - gap : last + 1][::-1]))
                         continue
                     least = max(0, pos + LENGTH - len(text))
                     if is_hot:
                         hashes = Hashes(by_byte(text)).size(LENGTH).view(np.int64) if hashes is None else hashes
-                        hot.append((tk, pos, least, hashes[pos - gap + 1 : pos - least + 1][::-1]))
+                        counted.append((None, tk, pos, least, hashes[pos - gap + 1 : pos - least + 1][::-1]))
                         continue
                     right, left = windows_before(text, pos, gap, least)
                     records.append(((piece & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + right, left, tk, pos, gap, least))
@@ -359,11 +363,11 @@ def runs_of(joined: DataFrame, ranges: int) -> DataFrame:
                 if size > RUN_BYTES:
                     yield flush()
                     size = 0
-            if hot:
-                cols = list(zip(*hot, strict=True))
-                yield pd.DataFrame({"range": None, "run": None, "tk": cols[0], "pos": cols[1], "least": cols[2], "windows": list(cols[3]), "text": None})
+            if counted:
+                cols = list(zip(*counted, strict=True))
+                yield rows(range=pd.array(cols[0], "Int32"), tk=cols[1], pos=cols[2], least=cols[3], windows=list(cols[4]))
             if texts:
-                yield pd.DataFrame({"range": None, "run": None, "tk": [x for x, _ in texts], "pos": None, "least": None, "windows": None, "text": [x for _, x in texts]})
+                yield rows(tk=[x for x, _ in texts], text=[x for _, x in texts])
         if records:
             yield flush()
 
@@ -382,8 +386,26 @@ def merged_spans(runs: DataFrame) -> DataFrame:
     return runs.groupBy("range").applyInPandas(one, "tk binary, start long, end long")
 
 
+def word_spans(windows: DataFrame) -> DataFrame:
+    """The same for words, one range of pieces at a time; spans of words start below zero, at -1 - word."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.array([len(w) for w in pdf["windows"]], np.int64)
+        _, which, m = np.unique(np.concatenate(list(pdf["windows"])), return_inverse=True, return_counts=True)
+        ends = np.cumsum(n)
+        hit = np.insert(m[which] > 1, ends, False)  # a gap behind each row's windows
+        step = np.diff(np.concatenate([[False], hit]).astype(np.int8))
+        first, after = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        row = np.searchsorted(ends + np.arange(1, len(n) + 1), first, "right")
+        begin = (ends - n + np.arange(len(n)))[row]
+        top = (-1 - pdf["pos"].to_numpy(np.int64) - pdf["least"].to_numpy(np.int64))[row]  # window i starts at word top - i
+        return pd.DataFrame({"tk": pdf["tk"].to_numpy()[row], "start": -1 - (top - (after - 1 - begin)), "end": top - (first - begin) + SHARED})
+
+    return windows.groupBy("range").applyInPandas(one, "tk binary, start long, end long")
+
+
 def counted_spans(windows: DataFrame) -> DataFrame:
-    """The same for hot pieces and for words, by counting each window; spans of words start below zero, at -1 - word."""
+    """Both for hot pieces, by counting each window."""
     each = windows.select("tk", "pos", "least", F.posexplode("windows").alias("i", "window"))
     # Written, so that the join has exchanges of its own and a window that many texts hold can be split.
     twice = written(each.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window"), "windows")
@@ -432,9 +454,11 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with small_batches(spark):
         a = written(outlines(docs.select("doc_id", "text")), "outlines")
+    ids = written(a.select("doc_id", "tk", "n", "sha"), "ids")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep")
     first = F.first(F.struct("piece", "pos", "gap")).alias("x")
     classes = written(a.groupBy("tk").agg(F.count("*").alias("copies"), rep, F.first("n").alias("n"), F.first("words").alias("words"), first), "classes")
+    discard(a)
     each = classes.select("tk", F.inline(F.arrays_zip("x.piece", "x.pos", "x.gap")))
     counts = each.groupBy("piece").agg(F.count("*").alias("m")).filter("m > 1").select("piece", (F.col("m") > hot).alias("hot"))
     counts = written(counts, "pieces")  # as with the windows, so that the join below can be split
@@ -444,14 +468,17 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     joined = texts.join(cand, texts["doc_id"].eqNullSafe(cand["rep_id"]) & (texts["mine"] == cand["tk"]))
     with small_batches(spark):
         work = written(runs_of(joined, ranges), "runs")
-    spans = merged_spans(work.filter("range IS NOT NULL").select("range", "run"))
-    spans = spans.unionByName(counted_spans(work.filter("windows IS NOT NULL").select("tk", "pos", "least", "windows")))
+    spans = merged_spans(work.filter("run IS NOT NULL").select("range", "run"))
+    spans = spans.unionByName(word_spans(work.filter("range IS NOT NULL AND windows IS NOT NULL").select("range", "tk", "pos", "least", "windows")))
+    spans = spans.unionByName(counted_spans(work.filter("range IS NULL AND windows IS NOT NULL").select("tk", "pos", "least", "windows")))
     some = kept(work.filter("text IS NOT NULL").select("tk", "text"), spans)
     long, many = F.col("n") >= LENGTH, F.col("words") >= SHARED
     none = hashlib.sha256(b"").hexdigest()
     number = lambda c, v: F.when(c, v).otherwise(0).cast("long")
     whole = classes.filter((F.col("copies") > 1) & (long | many)).select("tk", number(long, F.col("n")).alias("n_removed"), number(long, F.lit(1)).alias("n_spans"), F.when(long, none).alias("kept_sha"), number(many, F.col("words")).alias("n_shared_words"))
-    out = a.select("doc_id", "tk", "n", "sha").join(some.unionByName(whole), "tk", "left")
+    whole = written(whole, "whole")
+    discard(counts, classes)
+    out = ids.join(some.unionByName(whole), "tk", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = out.select("doc_id", F.col("n").alias("n_bytes"), zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), zero("n_shared_words"))
     return out.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
