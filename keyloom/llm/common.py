@@ -30,6 +30,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_open: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: lineage ends here."""
     spark = df.sparkSession
@@ -37,6 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
@@ -68,3 +73,20 @@ def let(value: Column, body) -> Column:
 def text_of(column: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+@contextmanager
+def temporary():
+    """Deletes at its end the tables written inside it, but for those given to the function that it yields."""
+    made, kept = [], []
+    _open.append(made)
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.append(t._written_path)
+        return t
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        discard(*(t for t in made if t._written_path not in kept))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import small_batches, text_of, written
+from keyloom.llm.common import small_batches, temporary, text_of, written
 
 WORDS, BANDS, ROWS, CENTRES, WIDE, PERCENT = 5, 25, 5, 3, 32, 85
 BINS = 128
@@ -232,9 +232,14 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every document."""
-    docs = docs.select("doc_id", "text")
+def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tk, n, node) for every row, and (node, id, tk) for the classes of groups of several rows: the group's first row."""
+    with temporary() as keep:
+        sk, named = _groups(docs.select("doc_id", "text"), percent)
+        return keep(sk), keep(named)
+
+
+def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     with small_batches(docs.sparkSession):
         sk = written(sketches(docs), "sketch")
     has = sk.filter(F.col("node").isNotNull())
@@ -293,19 +298,37 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         edges = edges.unionByName(more)
         labels = components(edges)
 
-    # Name components by their smallest id; only classes with company have a row here.
+    # Name components by their first row; only classes with company have a row here.
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = named.groupBy("label").agg(F.min("rep").alias("c"), F.sum("copies").alias("size")).filter("size > 1").select("label", F.col("c.doc_id").alias("component"))
-    moved = named.join(names, "label").select("node", "component", F.lit(True).alias("grouped"))
-    out = sk.select("doc_id", "n", "node").join(moved, "node", "left")
-    component = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id"))
+    names = named.groupBy("label").agg(F.min("rep").alias("c"), F.sum("copies").alias("size")).filter("size > 1").select("label", "c")
+    moved = named.join(names, "label").select("node", F.col("c.doc_id").alias("id"), F.col("c.tk").alias("tk"))
+    return sk, written(moved, "groups")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every document."""
+    sk, named = groups(docs, percent)
+    out = sk.select("doc_id", "n", "node").join(named.select("node", "id", F.lit(True).alias("grouped")), "node", "left")
+    component = F.when(F.col("grouped"), F.col("id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, columns unchanged; of rows that repeat an id, one stays in a group."""
-    drop = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """One row of each group, columns unchanged.
+
+    It is the row with the smallest id (nulls last), then the smallest hash of
+    the text; of rows with that id and text, the one with the smallest hash of
+    all columns.  Rows are judged one by one: another text under the same id, or
+    a row without words, isn't touched.
+    """
+    sk, named = groups(docs, percent)
+    first = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("first_tk"))
+    # An id and a text name one class, so this is one row for each.
+    marks = sk.join(named.withColumnRenamed("tk", "first_tk"), "node").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_mtk"), first.alias("_first")).distinct()
+    rows = docs.withColumn("_tk", F.xxhash64(text_of("text")))
+    rows = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_id"]) & (rows["_tk"] == marks["_mtk"]), "left")
+    one = rows.filter("_first").groupBy("doc_id", "_tk").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return rows.filter("_first IS NULL").select(*docs.columns).unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,17 @@ def test_null_and_repeated_ids(spark):
     assert got == [("5", 2, "5"), ("5", 2, "5"), ("7", 1, "7"), ("None", 0, "None"), ("None", 2, "5")]
     assert minhash.near_duplicates(df.limit(0)).count() == 0
     assert minhash.deduplicate(df.filter("doc_id IS NOT NULL")).columns == ["doc_id", "text"]
+    assert minhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_deduplicate_judges_rows(spark):
+    a, b, u = "one two three four five six", "b1 b2 b3 b4 b5 b6", "u1 u2 u3 u4 u5 u6"
+    rows = [(3, a, "x"), (5, a, "y"), (5, u, "z"), (7, b, "1"), (7, b, "2"), (None, a, "n"), (None, a, "n"), (None, u + " u7", "w"), (8, None, "e"), (8, None, "e"), (9, " ", "e"), (None, b, "q")]
+    got = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _first_ string"))
+    assert got.columns == ["doc_id", "text", "_first_"]
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(3, a), (5, u), (7, b), (None, u + " u7"), (8, None), (8, None), (9, " ")], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicate(spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")).collect()), key=str) == [(None, b), (None, a)]
 
 
 def test_signature_estimates_similarity():
