@@ -13,26 +13,35 @@ Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined by two line ends in page order; nothing else is
 dropped.
 
+Names that also stand on articles (``WEAK``: related, search, legal and the like)
+drop a container only while it holds less than half of the page's text outside
+links, and a paragraph or heading only if most of it is links.
+
 HTML null, empty or without text outside boilerplate: text empty, n_chars 0.
 Plain text without tags is its own article.  URL null: the page belongs to the
 host "".  Repeated rows each give a row.  Equal votes: the path that sorts first.
-Extra columns are ignored.
+Extra columns are ignored.  Empty table: empty result.
 
 Votes are one row a page, summed before the shuffle, so a host with a third of
-all pages is no hot task; where pages meet their host's path, every host is
-spread over ``SPREAD`` keys.
+all pages is no hot task.  Winning paths are one row a host: while they measure
+at most ``BROADCAST`` bytes they are sent to all tasks and no page is shuffled;
+beyond that pages meet them in a sort-merge join, whose hot hosts Spark splits by
+measured size (spark.sql.adaptive.skewJoin).
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SPREAD = 64
+from keyloom.llm.common import written
+
+BROADCAST = 32 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
@@ -43,25 +52,30 @@ _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i
 _CONTAINER = {"html", "body", "main", "article", "section", "div", "td", "table", "tbody", "tr"}
 _BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav\w*|menus?|topbar|toolbar|header|masthead|footer|foot|side-?bar|sidebar\w*|aside|breadcrumbs?|"
-    r"cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|overlay|comments?|comment-?list|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|widget|skip|legal|copyright|hidden)(?:$|[\s_-])",
+    r"cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|overlay|comments?|comment-?list|commentlist|respond|replies|disqus|share|sharing|newsletter|subscribe|signup|login|pagination|pager|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+WEAK = re.compile(r"(?:^|[\s_-])(?:social|related|recommended|search|widget|legal|copyright)(?:$|[\s_-])", re.I)
+_TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dd dt li".split()) | _INLINE
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 class Node:
-    __slots__ = ("bonus", "drop", "kids", "links", "parent", "path", "size", "tag")
+    __slots__ = ("bonus", "drop", "kids", "links", "parent", "path", "size", "tag", "weak")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, bonus: float, path: str):
-        self.tag, self.parent, self.drop, self.bonus, self.path = tag, parent, drop, bonus, path
+    def __init__(self, tag: str, parent: Node | None, drop: bool, bonus: float, path: str, weak: bool = False):
+        self.tag, self.parent, self.drop, self.bonus, self.path, self.weak = tag, parent, drop, bonus, path, weak
         self.kids: list[Node | str] = []
         self.size = self.links = 0
 
 
 def host_of(url: str | None) -> str:
     m = re.match(r"(?s).*?://([^/?#]*)", url or "")
-    return m[1].lower() if m else ""
+    return m[1].translate(_LOWER) if m else ""  # A-Z alone, like the column expression below
 
 
 def parse(page: str) -> Node:
@@ -87,7 +101,7 @@ def parse(page: str) -> Node:
                 node = x.parent
             continue
         if tag in _VOID:
-            node.kids.append(" " if tag in ("br", "wbr", "hr", "img") and tag != "wbr" else "")
+            node.kids.append(Node("hr", node, False, 0.0, node.path) if tag == "hr" else " " if tag in ("br", "img") else "")
             continue
         if tag not in _INLINE:
             closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
@@ -105,7 +119,8 @@ def parse(page: str) -> Node:
         drop = drop or tag not in ("html", "body", "article", "main") and bool(_BOILER.search(names)) or tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I))
         bonus = 1.0 * (tag in ("article", "main") or role in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower()) + 0.5 * bool(_GOOD.search(names))
         step = tag + "".join(f".{c}" for c in sorted(_DIGITS.sub("0", attrs.get("class", "")).lower().split()))
-        new = Node(tag, node, drop, bonus, f"{node.path}/{step}" if tag in _CONTAINER else node.path)
+        weak = not drop and tag not in ("html", "body", "article", "main") and bool(WEAK.search(names))
+        new = Node(tag, node, drop, bonus, f"{node.path}/{step}" if tag in _CONTAINER else node.path, weak)
         node.kids.append(new)
         if m[3].endswith("/"):
             continue
@@ -131,13 +146,11 @@ def _out_of_p(node: Node) -> Node:
 
 
 def measure(root: Node) -> list[Node]:
-    """Letters of each node outside boilerplate and those of them in links; the containers in page order."""
-    out, order, stack = [], [], [root]
+    """Letters of each node outside boilerplate and those of them in links; weak names are decided; the containers in page order."""
+    order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
-        if x.tag in _CONTAINER and not x.drop:
-            out.append(x)
         stack.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.drop)
     for x in reversed(order):
         x.size += sum(len(k) - k.count(" ") for k in x.kids if isinstance(k, str) and not k.isspace())
@@ -146,6 +159,19 @@ def measure(root: Node) -> list[Node]:
         if x.parent is not None:
             x.parent.size += x.size
             x.parent.links += x.links
+    total, out, gone = root.size - root.links, [], set()
+    for x in order:  # parents first
+        if x.parent is not None and id(x.parent) in gone:
+            gone.add(id(x))
+            continue
+        if x.weak and (2 * x.links > x.size if x.tag in _TEXT else 2 * (x.size - x.links) < total):
+            x.drop = True
+            gone.add(id(x))
+            for y in _above(x):
+                y.size, y.links = y.size - x.size, y.links - x.links
+    for x in order:
+        if x.tag in _CONTAINER and id(x) not in gone:
+            out.append(x)
     return out
 
 
@@ -227,15 +253,13 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return sums.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("host", "path")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast: int = BROADCAST) -> DataFrame:
     """(id, url, text) of every page."""
-    paths = consensus(pages, url_col, html_col).withColumnRenamed("host", "_host")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+    paths = written(consensus(pages, url_col, html_col).withColumnRenamed("host", "_host"), "paths")
+    size = paths.agg(F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("path") + 64), F.lit(0)).alias("n")).first()["n"]
+    host = F.translate(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
     d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("_host"))
-    # A host's pages go to SPREAD tasks; its path, one row, goes to each of them.
-    d = d.withColumn("_part", F.pmod(F.xxhash64("id", "html"), F.lit(SPREAD)).cast("int"))
-    paths = paths.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    d = d.join(paths, ["_host", "_part"], "left")
+    d = d.join(F.broadcast(paths) if size <= broadcast else paths.hint("merge"), "_host", "left")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):

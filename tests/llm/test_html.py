@@ -1,3 +1,6 @@
+import re
+from html.parser import HTMLParser
+
 from keyloom.llm import html
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
@@ -29,3 +32,86 @@ def test_host_votes(spark):
     assert [tuple(r) for r in html.consensus(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [("h", "/html/body/div.a0")]
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == "brief article"
+
+
+def one(page):
+    return html.extract(page, None)
+
+
+def test_weak_names_do_not_drop_an_article():
+    long = "A sentence of the article that says something. " * 20
+    page = f'<body><nav>x</nav><section class="text-search results"><p>{long}</p><p class="related">A related finding, told here.</p></section><div class="related"><a href="/a">More</a></div></body>'
+    assert one(page) == f"{long.strip()}\n\nA related finding, told here."
+    page = f'<article><p>{long}</p><p class="related"><a href="/x">Read this too</a></p><div class="legal">All rights reserved</div></article>'
+    assert one(page) == long.strip()
+
+
+def test_rules_end_blocks_and_hosts_fold_ascii_only(spark):
+    assert one("<div><p>c</p>d<hr>e</div>") == "c\n\nd\n\ne"
+    assert html.host_of("http://É.Example/") == "É.example"
+    rows = [(1, "http://É.Example/", PAGE), (2, "http://é.example/", PAGE)]
+    assert {r["host"] for r in html.consensus(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"É.example", "é.example"}
+
+
+def test_equal_votes_and_both_joins(spark):
+    two = '<html><body><div class="{}"><p>same words in both of them</p></div></body></html>'
+    rows = [(i, "http://h/", two.format("ba"[i % 2])) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r["path"] for r in html.consensus(df).collect()] == ["/html/body/div.a"]
+    a, b = (sorted(map(tuple, html.main_text(df, broadcast=n).collect())) for n in (0, 1 << 20))
+    assert a == b and len(a) == 4
+
+
+class Plain(HTMLParser):
+    """A second reading of the generated pages: the article's blocks, without what is never text."""
+
+    SKIP = {"nav", "header", "footer", "aside", "form", "script", "style"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "br", "code", "img"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.line, self.inside, self.skip = [], [], 0, []
+
+    def end(self):
+        text = re.sub(r"\s+", " ", "".join(self.line)).strip()
+        self.out += [text] if text else []
+        self.line = []
+
+    def handle_starttag(self, tag, attrs):
+        names = dict(attrs).get("class") or ""
+        if self.skip:
+            self.skip += [tag] if tag == self.skip[0] else []
+        elif tag in self.SKIP or re.search(r"\b(ad|comments?)\b", names):
+            self.end()
+            self.skip = [tag]
+        elif tag == "br":
+            self.line.append(" ")
+        elif tag not in self.INLINE:
+            self.end()
+            self.inside += tag in ("article", "main")
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            if tag == self.skip[0]:
+                self.skip.pop()
+        elif tag not in self.INLINE:
+            self.end()
+            self.inside -= tag in ("article", "main")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.line.append(data)
+
+
+def test_generated_pages_against_a_second_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    n = 0
+    for r in pages.collect():
+        if r["html"] and re.search(r"<(article|main)\b", r["html"]):
+            p = Plain()
+            p.feed(r["html"])
+            p.close()
+            n += 1
+            assert got[r["page_id"]] == "\n\n".join(p.out), r["page_id"]
+    assert n > 50
