@@ -29,26 +29,26 @@ next document.  Empty table: empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import let, text_of
 
-K, S, CHUNK = 40, 8, 160
+K, S, CHUNK = 40, 8, 640
 _INNER = K - S + 1
 _LEAST = -(1 << 63)
 _ANCHORS = "array<struct<pos:int,hash:bigint>>"
 
 
-def _edge(h: Column, i: Column) -> Column:
-    """Whether the smallest of the hashes i .. i + _INNER - 1 is the first or the last; decided by the first larger one in most cases."""
+def _edge(h: Column, first: Column, i: Column) -> Column:
+    """Whether the smallest of the hashes i .. i + _INNER - 1 is the first or the last; null where they would pass the end."""
     at = lambda j: F.get(h, i + j)
-    first, last = at(0), at(_INNER - 1)
-    is_first, is_last = first <= last, last <= first
-    for j in reversed(range(1, _INNER - 1)):
-        is_first, is_last = (first <= at(j)) & is_first, (last <= at(j)) & is_last
-    return is_first | is_last
+    last = at(_INNER - 1)
+    all_of = lambda x: reduce(lambda rest, j: (x <= at(j)) & rest, reversed(range(1, _INNER - 2)), x <= at(_INNER - 2))
+    # The larger of both can't be the smallest of all; a chain ends at the first hash below.
+    return F.when(first <= last, all_of(first)).otherwise(all_of(last))
 
 
 def anchors(text: Column) -> Column:
@@ -56,10 +56,9 @@ def anchors(text: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{CHUNK + K - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
 
     def of(c: Column, k: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(1), F.length(c) - (S - 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(S))))
-        chosen = let(inner, lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - _INNER), lambda i: _edge(h, i)))
-        found = F.transform(chosen, lambda i: F.struct((k * CHUNK + i).alias("pos"), F.shiftrightunsigned(F.xxhash64(F.substring(c, i + 1, F.lit(K))), 16).alias("hash")))
-        return F.when(F.length(c) >= K, found).otherwise(F.array().cast(_ANCHORS))
+        inner = F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
+        anchor = lambda i: F.struct((k * CHUNK + i).alias("pos"), F.shiftrightunsigned(F.xxhash64(F.substring(c, i + 1, F.lit(K))), 16).alias("hash"))
+        return let(inner, lambda h: F.filter(F.transform(h, lambda x, i: F.when(_edge(h, x, i), anchor(i))), lambda a: a.isNotNull()))
 
     return F.flatten(F.transform(pieces, of))
 
