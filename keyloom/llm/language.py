@@ -6,27 +6,30 @@ languages of a family; the most votes win, ties go to the larger sum of
 margins.  The score is the product of the logistic of the winner's weakest
 margins in both steps, between 0 and 1.
 
-Training texts are a sample: about ``per_language`` labelled texts of each
-language (fewer if there are fewer), chosen by a hash of the id, so the fit has
-a bound whatever the input is.  Prediction covers whole texts of all rows.
+Training texts are a sample: at most ``per_language`` distinct labelled texts of
+each of the ``LANGUAGES`` most frequent languages, those with the smallest hash of
+id and text, so the fit has a bound whatever the input is, null or repeated ids
+included.  Prediction covers whole texts of all rows.
 
 Text null or without a letter: ``und``, score 0.  Null lang: not learned from.
 Null id: hashed as an empty string, never held out.  No usable label at all:
-every text is ``und``.  Repeated rows get equal results.
+every text is ``und``.  Repeated rows get equal results.  Empty table: empty
+result.  Extra columns are ignored (``identify`` keeps them).
+
+A letter is a character of the Unicode categories L*, as in ``\\p{L}``.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex as re
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIM = 4096
-PER_LANGUAGE = 500
+PER_LANGUAGE, LANGUAGES = 500, 200
 _FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -39,7 +42,7 @@ _FAMILIES = {
     "sinitic": "zh yue",
 }
 FAMILY = {code: family for family, codes in _FAMILIES.items() for code in codes.split()}
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = re.compile(r"\P{L}+")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -130,14 +133,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on a hash sample of the labelled rows that aren't held out."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not counts:
+    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit(8))
+    known = known.select("lang", "text", order.alias("order"))
+    top = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("order").alias("d")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not top:
         return None
+    # A share of the hashes that leaves about three times as many texts, whatever repeats; of those the smallest.
     share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(u < share).select("lang", "text")
+    for r in top:
+        share = F.when(F.col("lang") == r["lang"], min(1.0, 3 * per_language / max(1, r["d"]))).otherwise(share)
+    some = known.filter(F.pmod("order", F.lit(1 << 30)) / float(1 << 30) < share).groupBy("lang", "order").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    sample = some.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("lang", "text")
 
     def vectors(batches):
         for pdf in batches:
@@ -145,7 +152,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
             keep = [x is not None for x in v]
             yield pd.DataFrame({"lang": pdf["lang"][keep], "x": [x.astype(np.float16).tobytes() for x in v if x is not None]})
 
-    rows = sample.mapInPandas(vectors, "lang string, x binary").collect()  # about per_language rows of 8 KB a language
+    rows = sample.mapInPandas(vectors, "lang string, x binary").collect()  # at most per_language * LANGUAGES rows of 8 KB
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -175,7 +182,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predictions(docs, train(docs))
 
-
-def rejected(text: Column) -> Column:
-    """Texts that the identification can't name: null or without any letter."""
-    return ~F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

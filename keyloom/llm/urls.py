@@ -2,9 +2,11 @@
 
 DataFrame functions only.  Two smoothed variable-order Markov models, of the
 URLs that rules accept and of those they reject, give a log-likelihood ratio
-per character; a URL passes when it lies above a threshold calibrated on the
-same labelled URLs (where two normal distributions with the measured means and
-deviations err equally).
+per character; a URL passes when it lies above a threshold calibrated on
+held-out labelled URLs: of the distinct ones, every fourth by hash is scored by
+models that were trained on the others (the threshold is where two normal
+distributions with the measured means and deviations err equally).  URLs without
+a rule are scored by models of all labelled ones.
 
 A model holds the counts of all character strings of up to ``ORDER`` + 1 and of
 their contexts, for all labelled rows.  They are exact and a table, so a model
@@ -15,8 +17,9 @@ Models train on and score the whole URL as it stands, scheme, query and fragment
 too; host and path serve the rules only.  URL without ``://``: host and path
 empty, no rule, judged by its score.  URL null or empty: host and path empty, no
 rule, verdict block (there is nothing to judge).  If rules accept or reject no
-URL at all, the ratio has no threshold and the verdict is allow.  Repeated rows
-are judged alike.
+URL at all, or none of the held-out ones, the ratio has no threshold and the
+verdict is allow.  Repeated rows are judged alike, null ids too.  Empty table:
+empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import written
+from keyloom.llm.common import temporary, written
 
 ORDER, A = 4, 1.0
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -71,14 +74,24 @@ def model(grams: DataFrame) -> DataFrame:
 
 
 def ratios(rows: DataFrame) -> DataFrame:
-    """(text, verdict) -> (text, score): log-likelihood ratio per character of each distinct text that isn't empty."""
+    """(text, verdict) -> (text, score, held): log-likelihood ratio per character of each distinct text that isn't empty.
+
+    ``held``: the same by models without the held-out texts, null for the others.
+    """
+    held = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(4)) == 0
     texts = rows.filter("text <> ''").groupBy("text").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("r"))
-    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()).withColumn("held", held & (F.col("a") + F.col("r") > 0)), "texts")
     # Written, so that the join has exchanges of its own and a gram that many texts have can be split.
-    each = written(texts.select("id", "a", "r", F.explode(_grams(F.col("text"))).alias("gram")), "grams")
-    grams = written(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "counts")
-    scores = each.select("id", "gram").join(model(grams), "gram").groupBy("id").agg(F.avg("llr").alias("score"))
-    return texts.select("id", "text").join(scores, "id").select("text", "score")
+    each = written(texts.select("id", "a", "r", "held", F.explode(_grams(F.col("text"))).alias("gram")), "grams")
+
+    def scored(seen: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+        known = written(seen.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "counts")
+        return wanted.select("id", "gram").join(model(known), "gram").groupBy("id").agg(F.avg("llr").alias(name))
+
+    # What the held-out texts alone have counts as seen in neither kind.
+    apart = each.withColumns({c: F.when(F.col("held"), 0).otherwise(F.col(c)) for c in ("a", "r")})
+    out = texts.select("id", "text").join(scored(each, each, "score"), "id").join(scored(apart, each.filter("held"), "held"), "id", "left")
+    return out.select("text", "score", "held")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -88,8 +101,10 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     which, verdict = rule_for(F.col("host"), F.col("path"), rules)
     d = d.withColumn("rule", which).withColumn("verdict", verdict)
     d = written(d, "urls")
-    d = d.join(written(ratios(d), "ratios"), "text", "left")
-    scored = d.filter(F.col("verdict").isNotNull())
+    with temporary() as keep:
+        scores = keep(written(ratios(d), "ratios"))
+    d = d.join(scores, "text", "left")
+    scored = d.filter(F.col("held").isNotNull()).select("text", "verdict", F.col("held").alias("score")).distinct()
     ok = F.col("verdict") == "allow"
     side = lambda f, c: f(F.when(c, F.col("score")))
     ma, mr, sa, sr = side(F.avg, ok), side(F.avg, ~ok), side(F.stddev_pop, ok), side(F.stddev_pop, ~ok)

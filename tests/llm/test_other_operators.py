@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -26,6 +27,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert kinds[2, 1200] == ("response", None) and kinds[1, 1200] == kinds[None, 1200] == ("revisit", 2) and kinds[5, 5] == ("response", None)
     assert spark.read.parquet(f"{path}/payloads").count() == 3
     assert all(b"\r\n\r\n" in bytes(r["header"]) for r in got)
+    assert warc.records(spark, warc.write(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")).count() == 0
+
+
+def _parse_warc(data):
+    """Records (headers, block) of a WARC file, by its grammar alone."""
+    at, out = 0, []
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        first, *lines = data[at:end].decode().split("\r\n")
+        assert first == "WARC/1.1"
+        head = dict(x.split(": ", 1) for x in lines)
+        assert len(head) == len(lines)
+        n = int(head["Content-Length"])
+        out.append((head, data[end + 4 : end + 4 + n]))
+        at = end + 4 + n + 4
+        assert data[at - 4 : at] == b"\r\n\r\n"
+    return out
+
+
+def test_warc_file_parses(spark, tmp_path):
+    big = "é\r\n\r\nWARC/1.1\r\n" * 100
+    rows = [(1, "http://a/", big), (2, None, big), (2, "x\r\nWARC-Type: no", big), (None, "n", big), (None, "n", "q"), (None, "n", "q"), (4, "v", None)]
+    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", date="2024-01-02T03:04:05Z")
+    parsed = _parse_warc(b"".join(bytes(r["record"]) for r in warc.warc_bytes(warc.records(spark, path)).collect()))
+    assert len(parsed) == len(rows) and len({h["WARC-Record-ID"] for h, _ in parsed}) == len(rows)
+    by_id = {h["WARC-Record-ID"]: (h, b) for h, b in parsed}
+    for h, block in parsed:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(h) and h["WARC-Date"] == "2024-01-02T03:04:05Z"
+        if h["WARC-Type"] == "revisit":
+            target, block = by_id[h["WARC-Refers-To"]]
+            assert target["WARC-Type"] == "response" and target["X-Page-ID"] == h["X-Refers-To-Page-ID"] == "2"
+        assert h["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(block).hexdigest() and int(h["X-Payload-Length"]) == len(block)
+    assert sorted(b.decode() for h, b in parsed if h["WARC-Type"] == "response") == sorted(["", "q", "q", big, big])
 
 
 def test_mixing_targets_and_bounds(spark):
@@ -114,11 +148,31 @@ def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language.predictions(docs, language.train(docs)).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out AND lang_pred <> 'und'").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) > 0.97 * len(rows) > 200
+    got = {t: language.predictions(spark.createDataFrame([(1, t, "en")], "doc_id long, text string, lang string"), language.train(docs)).first()["lang_pred"] for t in ("½", "①²", "_", "Ⅷ", "a", "ª")}
+    assert {t for t, p in got.items() if p == "und"} == {"½", "①²", "_", "Ⅷ"}
     odd = spark.createDataFrame([(1, None, "en"), (2, "12 !", "en"), (None, "hello", None), (4, "x " * 50000, "de")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predictions(odd, None).collect()}
     assert got[1] == got[2] == ("und", 0.0) and len(got) == 4
 
 
+def test_language_sample_is_bounded_and_rows_repeat(spark):
+    words = {"en": "the cat and that hat", "de": "der hund und das haus"}
+    rows = [(None, f"{words[k]} {i}", k, 1.0) for i in range(400) for k in words] + [(7, "the same text", "en", 1.0)] * 300 + [(8, None, "en", 0.0), (9, "x", None, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    seen = []
+    fit = language.Model
+    try:
+        language.Model = lambda x, langs: seen.append((x, langs)) or fit(x, langs)
+        model = language.train(docs, per_language=50)
+    finally:
+        language.Model = fit
+    assert len(seen) == 1 and all(0 < seen[0][1].count(k) <= 50 for k in words)
+    got = [tuple(r) for r in language.identify(docs, model).select("doc_id", "text", "lang_pred", "score").collect()]
+    assert len(got) == len(rows) and len({g for g in got if g[0] == 7}) == 1
+    empty = docs.limit(0)
+    assert language.train(empty) is None and language.identify(empty, None).count() == 0
+
+
 def _rule(url):
     host = path = ""
     if url and "://" in url:
@@ -179,6 +233,21 @@ def test_url_scores_from_exact_counts(spark):
     assert all(abs(x["score"] - want[url[x["page_id"]]]) < 1e-9 for x in open_)
 
 
+def test_url_threshold_is_held_out_and_odd_tables(spark):
+    r = random.Random(6)
+    word = lambda a: "".join(r.choice(a) for _ in range(9))
+    good, bad = "abcdefgh", "qrstuvwxyz0123456789"
+    pages = [(i, f"http://a.example.net/en/{word(good)}/{word(good)}", "x") for i in range(600)] + [(i, f"http://b.net/{word(bad)}/{word(bad)}", "x") for i in range(600)]
+    pages += [(None, f"http://c.info/{word(good)}/{word(good)}", "g") for _ in range(150)] + [(None, f"http://c.info/{word(bad)}/{word(bad)}", "b") for _ in range(150)]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, score string")).collect()
+    url = {u: k for _, u, k in pages}
+    truth = {f"{u[7:].split('/')[0]}{u[7:][u[7:].index('/'):]}": k for u, k in url.items()}
+    open_ = [(x["verdict"], truth[x["host"] + x["path"]]) for x in got if x["rule"] is None]
+    assert len(got) == len(pages) and len(open_) == 300
+    assert sum((v == "allow") == (k == "g") for v, k in open_) > 0.95 * len(open_)
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_url_scores_cover_the_whole_url(spark):
     pages = [(i, f"https://a.example.net/en/{i}?ref=good") for i in range(30)] + [(100 + i, f"https://a.net/{i}?ad=spam#x") for i in range(30)]
     pages += [(200, "https://other.info/p?ref=good"), (201, "https://other.info/p?ad=spam#x"), (202, "example?ref=good"), (203, None), (204, "")]
