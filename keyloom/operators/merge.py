@@ -57,10 +57,34 @@ def repeatable_read(state: Column, txn: Column, up_limit: int, active: Sequence[
     return own | seen
 
 
-def intervals(c: DataFrame, by: Sequence[str] = IDENTITY) -> DataFrame:
-    """Each version with the sequence at which the next one replaces it."""
-    w = Window.partitionBy(*by).orderBy("seq", "op_idx")
-    return c.withColumn("next_seq", F.lead("seq").over(w))
+def _in_pieces(c: DataFrame, at: str, pieces: int) -> DataFrame:
+    """Adds ``_piece``: in which of some ranges of sequences a row lies, so that one key's versions spread over tasks."""
+    share = [i / pieces for i in range(1, pieces)]
+    bounds = sorted(set(c.agg(F.percentile_approx(at, share, 100 * pieces).alias("q")).first()["q"] or [])) if share else []
+    known = F.array(*map(F.lit, bounds)).cast("array<bigint>")
+    return c.withColumn("_piece", F.size(F.filter(known, lambda b: b <= F.col(at))))
+
+
+def intervals(c: DataFrame, by: Sequence[str] = IDENTITY, pieces: int = 1) -> DataFrame:
+    """Each version with the sequence at which the next one replaces it.
+
+    With ``pieces`` the versions of one key are ordered range by range of their
+    sequences, and only the first sequence of each range goes to the one before.
+    """
+    if pieces <= 1:
+        return c.withColumn("next_seq", F.lead("seq").over(Window.partitionBy(*by).orderBy("seq", "op_idx")))
+    d = _in_pieces(c, "seq", pieces)
+    inside = Window.partitionBy(*by, "_piece").orderBy("seq", "op_idx")
+    d = d.withColumn("next_seq", F.lead("seq").over(inside))
+    firsts = d.groupBy(*by, "_piece").agg(F.min("seq").alias("_first"))
+    firsts = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*by).orderBy("_piece"))).drop("_first")
+    return d.join(firsts, [*by, "_piece"], "left").withColumn("next_seq", F.coalesce("next_seq", "_after")).drop("_piece", "_after")
+
+
+def newest_k(c: DataFrame, k: int, by: Sequence[str] = IDENTITY) -> DataFrame:
+    """The ``k`` newest records per key, tombstones included."""
+    w = Window.partitionBy(*by).orderBy(F.desc("seq"), F.desc("op_idx"))
+    return c.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def history(c: DataFrame, key: object) -> DataFrame:
@@ -81,16 +105,32 @@ def retain(c: DataFrame, oldest: int, bottom: bool = False, by: Sequence[str] =
 
 
 def collect_garbage(c: DataFrame, state: str = "state", flushed: str = "flushed", by: Sequence[str] = IDENTITY) -> DataFrame:
-    """Drop aborted versions; keep active, unflushed and the newest committed."""
-    w = Window.partitionBy(*by, state).orderBy(F.desc("seq"), F.desc("op_idx"))
-    ranked = c.filter(F.col(state) != "aborted").withColumn("_rank", F.row_number().over(w))
-    keep = (F.col(state) == "active") | ~F.col(flushed) | (F.col("_rank") == 1)
-    return ranked.filter(keep).drop("_rank")
+    """Drop aborted versions; keep active, unflushed and the newest committed.
 
+    Only the newest committed version of a key is looked for among its versions,
+    with a group limit before the shuffle; all others are kept or dropped row by row.
+    """
+    stays = (F.col(state) == "active") | ((F.col(state) != "aborted") & ~F.col(flushed))
+    last = newest(c.filter(F.col(state) == "committed"), by).filter(F.col(flushed))
+    return c.filter(stays).unionByName(last)
 
-def unflushed(c: DataFrame, state: str = "state", flushed: str = "flushed") -> DataFrame:
-    """Committed versions that no data file holds yet."""
-    return c.filter((F.col(state) == "committed") & ~F.col(flushed))
+
+def unflushed(c: DataFrame, most: int | None = None, state: str = "state", flushed: str = "flushed", by: Sequence[str] = IDENTITY) -> DataFrame:
+    """Committed versions that no data file holds yet; with ``most``, those of whole keys, in key order, until that many are reached."""
+    todo = c.filter((F.col(state) == "committed") & ~F.col(flushed))
+    if most is None:
+        return todo
+    # A key is taken while fewer than ``most`` versions stand before it, so the first ``most`` keys hold all that are.
+    keys = todo.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(*by).limit(most)
+    ahead = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    taken = keys.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).filter(F.col("_ahead") < most)
+    return todo.join(taken.select(*by), list(by), "left_semi")
+
+
+def mark_flushed(c: DataFrame, written: DataFrame, flushed: str = "flushed", by: Sequence[str] = IDENTITY) -> DataFrame:
+    """The versions with ``flushed`` set for those whose (key, seq) is among ``written``."""
+    done = written.select(*by, "seq").distinct().withColumn("_done", F.lit(True))
+    return c.join(done, [*by, "seq"], "left").withColumn(flushed, F.col(flushed) | F.coalesce("_done", F.lit(False))).select(*c.columns)
 
 
 def conflicts(written: DataFrame, read: DataFrame, since: int, by: Sequence[str] = IDENTITY) -> DataFrame:
@@ -99,13 +139,27 @@ def conflicts(written: DataFrame, read: DataFrame, since: int, by: Sequence[str]
     return newer.join(read.select(*by), list(by), "left_semi")
 
 
-def as_of_batch(probes: DataFrame, c: DataFrame, by: Sequence[str] = IDENTITY) -> DataFrame:
-    """Answer many (probe_id, key, at_seq) lookups at once; misses and deletes give null."""
-    near = c.select(*by, "seq", "op_idx", "op", "value")
-    hit = probes.join(near, list(by), "left").filter(F.col("seq").isNull() | (F.col("seq") <= F.col("at_seq")))
-    w = Window.partitionBy("probe_id").orderBy(F.desc_nulls_last("seq"), F.desc_nulls_last("op_idx"))
-    best = hit.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1 AND seq IS NOT NULL")
-    live = best.filter(F.col("op") != DELETE).select("probe_id", "seq", "value")
+def as_of_batch(probes: DataFrame, c: DataFrame, by: Sequence[str] = IDENTITY, pieces: int = 8) -> DataFrame:
+    """Answer many (probe_id, key, at_seq) lookups at once; misses and deletes give null.
+
+    Probes and versions are one sequence in order, along which the last version
+    is carried: no probe meets more than one version.  A key's sequence is cut
+    into ranges that are walked apart; each begins with the newest version of
+    those before it, found by a maximum with partial sums.
+    """
+    version = F.struct("seq", "op", "value")
+    v = c.select(*by, F.col("seq").alias("_at"), F.lit(0).alias("_probe"), "op_idx", F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), version.alias("_v"))
+    p = probes.select(*by, F.col("at_seq").cast("long").alias("_at"), F.lit(1).alias("_probe"), F.lit(0).cast("long").alias("op_idx"), "probe_id", F.lit(None).cast(v.schema["_v"].dataType).alias("_v"))
+    # Keys that nobody asks for go before anything is ordered.
+    d = _in_pieces(v.join(probes.select(*by).distinct(), list(by), "left_semi").unionByName(p), "_at", pieces)
+    inside = Window.partitionBy(*by, "_piece").orderBy("_at", "_probe", "op_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_hit", F.last("_v", ignorenulls=True).over(inside))
+    ends = d.groupBy(*by, "_piece").agg(F.max(F.when(F.col("_probe") == 0, F.struct("_at", "op_idx", "_v"))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_piece", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    hit = d.filter("_probe = 1").join(ends, [*by, "_piece"], "left")
+    found = F.coalesce(F.col("_hit"), F.col("_before._v"))
+    live = hit.withColumn("_f", found).filter(F.col("_f.op") != DELETE).select("probe_id", F.col("_f.seq").alias("seq"), F.col("_f.value").alias("value"))
     return probes.join(live, "probe_id", "left")
 
 

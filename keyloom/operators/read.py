@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.plans.envelope import sort_columns, successor
+from keyloom.plans.envelope import sort_columns, sort_key, sort_key_of, successor, within
 
 
 def get(state: DataFrame, key: object) -> DataFrame:
@@ -38,19 +38,32 @@ def between(key: Column, start: object = None, end: object = None) -> Column:
 
 
 def scan(state: DataFrame, start: object = None, end: object = None, limit: int = 0, reverse: bool = False, ordering: str = "bytewise", prefix: int = 0) -> DataFrame:
-    """Ordered range scan.  With a limit it is planned as TakeOrderedAndProject."""
-    name = {"bytewise": "reverse_bytewise", "reverse_bytewise": "bytewise"}[ordering] if reverse else ordering
-    lo, hi = (end, start) if ordering == "reverse_bytewise" else (start, end)
-    out = state.filter(between(F.col("key"), lo, hi)).orderBy(*sort_columns(name, F.col("key"), prefix))
+    """Ordered scan of start <= key < end, both in the keyspace's order.  With a limit it is planned as TakeOrderedAndProject."""
+    out = state.filter(within(ordering, F.col("key"), start, end, prefix)).orderBy(*sort_columns(ordering, F.col("key"), prefix, reverse))
     return out.limit(limit) if limit else out
 
 
-def seek(state: DataFrame, target: object) -> DataFrame:
-    return scan(state, start=target, limit=1)
+def seek(state: DataFrame, target: object, ordering: str = "bytewise", prefix: int = 0) -> DataFrame:
+    """The first key at or behind the target in the keyspace's order."""
+    return scan(state, start=target, limit=1, ordering=ordering, prefix=prefix)
 
 
-def seek_for_prev(state: DataFrame, target: object) -> DataFrame:
-    return state.filter(F.col("key") <= F.lit(target)).orderBy(F.desc("key")).limit(1)
+def seek_for_prev(state: DataFrame, target: object, ordering: str = "bytewise", prefix: int = 0) -> DataFrame:
+    """The last key at or before the target."""
+    column, at = sort_key(ordering, F.col("key"), prefix), F.lit(sort_key_of(ordering, target, prefix) if isinstance(target, bytes) else target)
+    before = column >= at if ordering == "reverse_bytewise" else column <= at
+    return state.filter(before).orderBy(*sort_columns(ordering, F.col("key"), prefix, reverse=True)).limit(1)
+
+
+def iterator_stats(entries: DataFrame) -> DataFrame:
+    """One row: entries, key bytes and value bytes of a scan."""
+    size = lambda c: F.coalesce(F.sum(F.octet_length(F.col(c).cast("binary"))), F.lit(0)).alias(f"{c}_bytes")
+    return entries.agg(F.count("*").alias("entries"), size("key"), size("value"))
+
+
+def same_entries(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two scans hold the same entries, as often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
 def prefix_scan(state: DataFrame, prefix: bytes | str, limit: int = 0) -> DataFrame:

@@ -69,3 +69,22 @@ def bloom_rate(bits: Column, n: Column, k: Column) -> Column:
 
 def estimate_file_bytes(payload: Column, entries: Column) -> Column:
     return payload + entries * 20 + 1024
+
+
+def key_in_range(key: Column, min_key: Column, max_key: Column) -> Column:
+    """Whether a file may hold a key; both bounds belong to it."""
+    return (key >= min_key) & (key <= max_key)
+
+
+def overlaps(min_key: Column, max_key: Column, other_min: Column, other_max: Column) -> Column:
+    return (min_key <= other_max) & (other_min <= max_key)
+
+
+def files_in_range(files: DataFrame, first: object = None, last: object = None, level: int | None = None) -> DataFrame:
+    """Files that may hold keys from first to last, both included; None is open."""
+    out = files
+    if first is not None:
+        out = out.filter(F.col("max_key") >= F.lit(first))
+    if last is not None:
+        out = out.filter(F.col("min_key") <= F.lit(last))
+    return out if level is None else out.filter(F.col("level") == level)
