@@ -16,7 +16,7 @@ what is sent has a bound whatever the benchmark's size.
 Document or item text null or empty: no match.  An item with fewer than q
 characters matches only a document that equals it.  Equal items each report
 their matches; repeated documents each report theirs; a null id stays null.
-Extra columns are ignored.
+Extra columns are ignored.  Empty tables: no match, and every document is clean.
 """
 
 from __future__ import annotations
@@ -93,6 +93,7 @@ class Index:
         m = np.array([len(c) for c in self.codes], np.int64)
         self.e = np.array([budget(int(x), edits, q) for x in m], np.int64)
         self.need = m - q + 1 - q * self.e
+        self.longest = 2 * int(m.max(initial=0)) + 2  # a diagonal plus this, and its band less one, is never below zero
         self.short: dict[str, list[int]] = {}
         keys, owner, place = [], [], []
         for t, c in enumerate(self.codes):
@@ -148,7 +149,7 @@ class Index:
                 k = n[begin:end]
                 hit = np.repeat(self.first[slot[begin:end]] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(int(k.sum()))
                 item = self.owner[hit]
-                band = (np.repeat(at[begin:end], k) - self.place[hit] + (1 << 20)) // (self.e[item] + 1)
+                band = (np.repeat(at[begin:end], k) - self.place[hit] + self.longest) // (self.e[item] + 1)
                 both = np.concatenate([(item << 40) | band, (item << 40) | (band - 1)])
                 parts.append(np.unique(both, return_counts=True))
                 begin = end
@@ -161,7 +162,7 @@ class Index:
         ok = counts >= self.need[item]
         for i, key in zip(item[ok].tolist(), keys[ok].tolist(), strict=True):
             w = int(self.e[i]) + 1
-            low = (key & ((1 << 40) - 1)) * w - (1 << 20)
+            low = (key & ((1 << 40) - 1)) * w - self.longest
             yield i, low, low + 2 * w - 1
 
 

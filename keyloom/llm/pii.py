@@ -39,6 +39,7 @@ _L, _D = r"A-Za-z0-9._%+-", r"A-Za-z0-9-"
 EMAIL = rf"(?:\G|(?<![{_L}]))[{_L}]++@[{_D}]++\.(?=[{_D}])(?:[{_D}.](?<!\.(?![{_D}])))++"
 IP = r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
+CARD_START = r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 EXTRA = (
     rf"{PHONE}|(?<![{_L}])[{_L}]++@[A-Za-z0-9.-]++"
@@ -57,9 +58,11 @@ FOR = r"(?i)(?:pass(?:word|wd|wort)?|secret|token|api[ _-]?key|key|login|user|ma
 AGAINST = r"(?i)(?:version|isbn|issn|doi|order|invoice|page|fig(?:ure)?|table|section|no|nr|sha|commit|hash|build|md5|uuid|img|src|href|/)\W*$"
 
 
+_SPANS = "array<struct<start:int,end:int,txt:string>>"
+
+
 def _found(text: Column, pattern: str) -> Column:
     """array<struct<start, end, txt>> of all matches, from the matches and the pieces between them."""
-    kind = "array<struct<start:int,end:int,txt:string>>"
 
     def fold(m: Column, pieces: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
@@ -67,10 +70,10 @@ def _found(text: Column, pattern: str) -> Column:
             end = start + F.length(F.get(m, i))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(m, i).alias("txt")))).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step)["out"]
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(let(F.split(text, pattern, -1), lambda p: fold(m, p))))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(_SPANS)).otherwise(let(F.split(text, pattern, -1), lambda p: fold(m, p))))
 
 
 def _digits(txt: Column) -> Column:
@@ -94,8 +97,12 @@ def base_spans(text: Column) -> Column:
         "phone": lambda x: F.length(_digits(x)).between(10, 15),
     }
 
+    # What every match holds; a text without it isn't searched.
+    needs = {"email": text.contains("@"), "ip": text.contains("."), "card": text.rlike(CARD_START), "phone": text.contains("+")}
+
     def part(ord_: int, kind: str, pattern: str) -> Column:
-        good = F.filter(_found(text, pattern), lambda s: valid[kind](s["txt"]))
+        found = F.when(needs[kind], _found(text, pattern)).otherwise(F.array().cast(_SPANS))
+        good = F.filter(found, lambda s: valid[kind](s["txt"]))
         return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(ord_).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["txt"].alias("txt")))
 
     parts = [part(k, kind, pattern) for k, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))]

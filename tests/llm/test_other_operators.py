@@ -144,6 +144,19 @@ def test_decontamination_against_full_alignment(spark):
     assert {x["doc_id"] for x in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_of_empty_tables_and_long_items(spark):
+    docs = spark.createDataFrame([(1, "some text that is long enough")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "some text that is long enough")], "item_id long, text string")
+    assert decontaminate.find(docs, items.limit(0)).count() == decontaminate.find(docs.limit(0), items).count() == 0
+    assert decontaminate.clean(docs, items.limit(0)).count() == 1 and decontaminate.clean(docs.limit(0), items).count() == 0
+    r = random.Random(2)
+    item = " ".join(f"w{r.randrange(10**9)}" for _ in range(110_000))
+    index = decontaminate.Index([(5, item)])
+    assert len(item) > 1 << 20 and index.find(f"x {item} y") == [(5, 0, len(item) + 2)]
+    cut = item[: 700_000] + "#" + item[700_001:]
+    assert [x[0] for x in decontaminate.Index([(5, item)], edits=0.0001).find("z " + cut)] == [5]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language.predictions(docs, language.train(docs)).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out AND lang_pred <> 'und'").collect()
