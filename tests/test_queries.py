@@ -2,6 +2,7 @@ import pytest
 from oracle import agree
 
 from keyloom.plans import queries as core
+from keyloom.plans import store_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 
