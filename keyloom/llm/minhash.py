@@ -325,10 +325,13 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("first_tk"))
     # An id and a text name one class, so this is one row for each.
     marks = sk.join(named.withColumnRenamed("tk", "first_tk"), "node").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_mtk"), first.alias("_first")).distinct()
-    rows = docs.withColumn("_tk", F.xxhash64(text_of("text")))
-    rows = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_id"]) & (rows["_tk"] == marks["_mtk"]), "left")
-    one = rows.filter("_first").groupBy("doc_id", "_tk").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return rows.filter("_first IS NULL").select(*docs.columns).unionByName(one)
+    # The columns go through as one, so that their names can't clash.
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64(text_of("text")).alias("_tk"))
+    rows = rows.join(marks, rows["_d"].eqNullSafe(marks["_id"]) & (rows["_tk"] == marks["_mtk"]), "left")
+    one = rows.filter("_first").groupBy("_d", "_tk").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    both = rows.filter("_first IS NULL").select("_row").unionByName(one)
+    return both.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ Ranks fall into ``bins`` bins of each class, of about equal probability; sums ov
 bins and an order inside each bin replace one order per class, so a source with
 a third of all rows spreads over all tasks.
 
-Text null or without words: size 0, taken 0.  A source of size 0 gets target 0.
+Extra columns are ignored.  Text null or without words: size 0, taken 0.  A source of size 0 gets target 0.
 Repeated ids share u and are ordered by size and then text hash; equal rows are
 interchangeable.  Null ids hash as an empty string.  Empty table: empty result.
 """
@@ -114,13 +114,15 @@ def mix(docs: DataFrame, max_repeat: float = 3.0, seed: int = 7, bins: int = BIN
     """(doc_id, source, size, source_size, target, copies, taken) for every document."""
     d = inclusion(docs, max_repeat, seed)
     key = F.struct(F.col("source").alias("s"), F.col("class").alias("c"))
-    classes = draws(d).select(key.alias("_key"), "draws", "mean")
+    # Written, a few rows a source: Spark knows their size and broadcasts them while it is small.
+    classes = written(draws(d).select(key.alias("_key"), "draws", "mean"), "classes")
     d = d.withColumn("_key", key).join(classes, "_key")
     inside = lambda c: F.least(F.greatest(c, F.lit(1e-12)), F.lit(1 - 1e-12))
     odds = lambda c: c / (1 - c)
     d = d.withColumn("rank", odds(F.col("u")) / odds(inside(F.col("p") / BILLION)))
     even = F.col("rank") * odds(inside(F.col("mean")))  # about the odds of a uniform number
     d = d.withColumn("bin", F.floor(even / (1 + even) * bins).cast("int"))
+    d = d.repartition("_key", "bin")  # never by class alone, whichever way the join went
     sums = d.groupBy("_key", "bin").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_key", "bin", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))

@@ -286,6 +286,31 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    item = "the benchmark question that nobody may train on at all"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a = " ".join(f"alpha{i} beta" for i in range(30))
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (2, a + " more", None, None), (None, a, "en", "s"), (None, "another text of its own, quite short", "en", "s")]
+    rows += [(3, None, "en", "s"), (3, "", None, "s"), (4, f"some words and {item} and more", "de", "t"), (5, "write to jo@example.com now please", "en", "t"), (5, "the same number, another text", "en", "t")]
+    rows += [(6, "!!! 123", "en", "t")]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _first string")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda d: sorted((str(r["doc_id"]), r["text"]) for r in d.collect())
+    docs = stages["language"](spark, docs, str(tmp_path))
+    assert texts(docs) == sorted((str(r[0]), r[1]) for r in rows if r[1] not in (None, "", "!!! 123"))
+    docs = stages["near_duplicates"](spark, docs, str(tmp_path))
+    kept = [(1, a), (None, rows[4][1]), (4, rows[7][1]), (5, rows[8][1]), (5, rows[9][1])]
+    assert texts(docs) == sorted((str(d), t) for d, t in kept)
+    docs = stages["benchmark"](spark, docs, str(tmp_path))
+    docs = stages["personal_data"](spark, docs, str(tmp_path))
+    assert texts(docs) == sorted((str(d), t.replace("jo@example.com", "[EMAIL]")) for d, t in kept if item not in t)
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_first"]
+    assert stages["mixture"](spark, docs, str(tmp_path)).count() <= 4
+    empty = docs.limit(0)
+    for stage in stages.values():
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_pipeline_drops_near_copies_from_80_percent(spark):
     words = [f"w{i}" for i in range(204)]
     changed = lambda k: " ".join("x" if i in range(5, 10 * k, 10) else w for i, w in enumerate(words))
