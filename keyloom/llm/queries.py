@@ -15,7 +15,17 @@ QUERIES = {
     "op10_urls": urls.query,
 }
 
+#: Columns of some operators' results that SQL can express, of the same whole tables.
+QUERIES |= {
+    "columns_of_op1": lambda spark, sf: syncmers.query(spark, sf).select("doc_id", "n_chars", "edited_sha256"),
+    "columns_of_op9": lambda spark, sf: pii.query(spark, sf).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
+    "columns_of_op10": lambda spark, sf: urls.query(spark, sf).select("page_id", "host", "path", "rule"),
+}
+
 SQL = {
+    "columns_of_op1": syncmers.SQL,
+    "columns_of_op9": pii.SQL,
+    "columns_of_op10": urls.SQL,
     "op2_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
 }

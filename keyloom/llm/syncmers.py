@@ -169,3 +169,10 @@ def edited(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The columns that SQL can express.
+SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS next, first_value(coalesce(text, '')) OVER (ORDER BY doc_id) AS head FROM documents)
+SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 4) || substr(coalesce(next, head), 1, length(t) // 4)) AS edited_sha256 FROM d
+"""

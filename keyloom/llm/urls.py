@@ -117,3 +117,14 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The columns that SQL can express.
+SQL = r"""
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+ p AS (SELECT page_id, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM u),
+ f AS (SELECT page_id, host, path, list_filter([{'rule': 'net/', 'h': 'net', 'p': '/'}, {'rule': 'example.net/en/', 'h': 'example.net', 'p': '/en/'}, {'rule': 'example.com/de/', 'h': 'example.com', 'p': '/de/'}, {'rule': 'org/fr/', 'h': 'org', 'p': '/fr/'}],
+  lambda r: (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)) AS fits FROM p)
+SELECT page_id, host, path, list_reduce(list_transform(fits, lambda r: r.rule), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS rule FROM f WHERE len(fits) > 0
+UNION ALL SELECT page_id, host, path, NULL FROM f WHERE len(fits) = 0
+"""
