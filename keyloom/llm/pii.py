@@ -143,9 +143,13 @@ def _votes(s: Column) -> Column:
     txt, kind = s["txt"], s["kind"]
     n, n_digits = F.length(txt), F.length(_digits(txt))
     is_in = lambda *k: kind.isin(*k)
+    # Digests name files and commits as often as they are keys: their look says nothing.
+    digest = txt.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$")
     sign = lambda plus, minus=F.lit(False): F.when(plus, "+").when(minus, "-").otherwise("0")
+    separators = F.length(F.regexp_replace(txt, "[A-Za-z0-9=]", ""))
+    path = txt.startswith("/") | (separators > 2)
     regex = sign(
-        is_in(*KINDS, "email_spelled", "iban") | is_in("ssn") & ~txt.rlike("^(?:000|666|9)") | is_in("phone_local") & txt.rlike(r"^\(?[2-9]") | is_in("secret") & txt.rlike(r"^(?:[0-9a-f]{32,64}|[A-Z0-9]{20}|[A-Za-z0-9_+/-]{24,64}={0,2})$"),
+        is_in(*KINDS, "email_spelled", "iban") | is_in("ssn") & ~txt.rlike("^(?:000|666|9)") | is_in("phone_local") & txt.rlike(r"^\(?[2-9]") | is_in("secret") & ~digest & ~path & txt.rlike(r"^(?:[0-9a-f]{32,64}|[A-Z0-9]{20}|[A-Za-z0-9_+/-]{24,64}={0,2})$"),
         is_in("ssn", "phone_local"),
     )
     last = F.element_at(F.split(txt, r"[.\s]+"), -1)
@@ -153,7 +157,7 @@ def _votes(s: Column) -> Column:
     context_for = sign(s["before"].rlike(FOR))
     context_against = sign(F.lit(False), s["before"].rlike(AGAINST))
     mixed = n_digits.between(F.floor(n * 0.15), F.floor(n * 0.9))
-    shape = sign(is_in("secret") & mixed & (F.length(F.regexp_replace(txt, "[A-Za-z0-9]", "")) <= 2) | is_in(*KINDS, "phone_local", "ssn", "iban"), is_in("secret") & ~mixed)
+    shape = sign(is_in("secret") & mixed & ~digest & ~path | is_in(*KINDS, "phone_local", "ssn", "iban"), is_in("secret") & (~mixed | path))
     return F.concat(regex, gazetteer, context_for, context_against, shape)
 
 
