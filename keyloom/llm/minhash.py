@@ -23,8 +23,13 @@
    sets and joined to components.
 6. A bucket whose members now lie in one component can hold no further link
    that matters.  In the others, members outside the bucket's largest component
-   are checked against all members of other components that the bound leaves,
-   so nothing is lost beside the chance in 3.
+   are checked against all members of other components that the bounds leave,
+   so nothing is lost beside the chance in 3.  Here pairs of wide classes are told
+   apart by their rarest common shingle.  If at most ``WIDE`` classes have it, it
+   is among the rarest of both and they meet at that shingle, each with less than
+   ``WIDE`` others.  If not, they share frequent shingles only, and these must be
+   enough for the link: a class whose frequent shingles aren't enough for any
+   size in its bucket leaves it, so copies with too many edits meet nobody there.
 
 Links: 100 * |A and B| >= ``percent`` * |A or B|.  Fewer than five words: the
 whole sequence is the one shingle.  Text null or without words: empty set,
@@ -132,7 +137,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def rarest(texts: DataFrame, percent: int) -> DataFrame:
-    """(id, own, rare): how many shingles of each class no other class of the table has, and the rarest ones of which linked classes share one; id hashes the node."""
+    """(id, own, often, rare, keys): how many shingles of each class no other class of the table has and how many more than ``WIDE`` have,
+    the rarest ones of which linked classes share one, and those of them that 2 to ``WIDE`` classes have; id hashes the node."""
 
     def run(batches):
         for pdf in batches:
@@ -146,7 +152,9 @@ def rarest(texts: DataFrame, percent: int) -> DataFrame:
     lists = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("s"))
     n = F.size("s")
     misses = n - F.ceil(n * percent / 100).cast("int")
-    return lists.select("id", F.size(F.filter("s", lambda x: x["m"] == 1)).alias("own"), F.slice(F.col("s.h"), 1, misses + 1).alias("rare"))
+    own, often = (F.size(F.filter("s", f)) for f in (lambda x: x["m"] == 1, lambda x: x["m"] > WIDE))
+    keys = F.filter(F.slice("s", 1, misses + 1), lambda x: x["m"].between(2, WIDE))["h"]
+    return lists.select("id", own.alias("own"), often.alias("often"), F.slice(F.col("s.h"), 1, misses + 1).alias("rare"), keys.alias("keys"))
 
 
 def _profile(s: np.ndarray) -> bytes:
@@ -260,26 +268,38 @@ def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         profile = written(profiles(texts), "profiles")
     # A repeated row would count its shingles twice.
     own = written(rarest(texts.filter("wide").groupBy("node").agg(F.first("text").alias("text")), percent), "own")
-    members = near.join(nodes.select("node", "bands"), "node").withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"), "rare", "m")
+    members = near.join(nodes.select("node", "bands"), "node").withColumn("id", F.xxhash64("node")).join(own, "id", "left").select("bucket", "node", "n", "bands", F.coalesce("own", F.lit(0)).alias("own"), "often", "rare", "keys", "m")
     members = written(members.filter((F.col("m") <= WIDE) | (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))).drop("m"), "members")
 
-    def pairs_of(m: DataFrame, one: DataFrame) -> DataFrame:
-        # Own shingles were counted among wide classes, which alone have rare ones; they say nothing of others.
-        wide = F.col("rare").isNotNull() & F.col("rx").isNotNull()
-        own, ox = (F.when(wide, F.col(c)).otherwise(0) for c in ("own", "ox"))
+    def bounded(own, ox):
         room = F.least(F.col("n") - own, F.col("nx") - ox)
         least = F.greatest(F.col("n") + ox, F.col("nx") + own)
-        fits = (F.col("label") != F.col("lx")) & (100 * room >= percent * least)
+        return (F.col("label") != F.col("lx")) & (100 * room >= percent * least)
+
+    pair = (F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+    def pairs_of(m: DataFrame, one: DataFrame, more=F.lit(True)) -> DataFrame:
+        # Own shingles were counted among wide classes, which alone have rare ones; they say nothing of others.
+        wide = F.col("rare").isNotNull() & F.col("rx").isNotNull()
+        fits = bounded(*(F.when(wide, F.col(c)).otherwise(0) for c in ("own", "ox")))
+        fits = fits & F.coalesce(more, F.lit(True))
         # A pair comes from the first bucket that both share.
         fits = fits & F.coalesce(F.arrays_overlap("rare", "rx"), F.lit(True))
         fits = fits & (F.col("bucket") == F.array_min(F.array_intersect("bands", "bx")))
-        return m.join(one, "bucket").filter(fits).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        return m.join(one, "bucket").filter(fits).select(*pair).distinct()
+
+    def pairs_at_shingles(m: DataFrame) -> DataFrame:
+        """Pairs of wide classes that share a bucket and one of their rarest shingles that at most WIDE classes have."""
+        each = m.filter("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "label", "n", "own", "bands", F.explode("keys").alias("key"))
+        one = each.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("bands").alias("bx"))
+        fits = (F.col("node") < F.col("x")) & bounded(F.col("own"), F.col("ox")) & F.arrays_overlap("bands", "bx")
+        return each.join(one, "key").filter(fits).select(*pair).distinct()
 
     def links_of(pairs: DataFrame) -> DataFrame:
         with small_batches(docs.sparkSession):
             return written(check(written(possible(pairs, profile, percent), "possible"), texts, percent), "links")
 
-    side = lambda d: d.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("bands").alias("bx"), F.col("rare").alias("rx"))
+    side = lambda d: d.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("bands").alias("bx"), F.col("rare").alias("rx"), F.col("often").alias("fx"))
     single = members.withColumn("label", F.col("node"))
     rank = Window.partitionBy("bucket").orderBy(F.col("own") / F.col("n"), F.xxhash64("node"))
     centres = single.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= CENTRES)
@@ -288,11 +308,19 @@ def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     labels = components(edges)
 
     m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = written(m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "split")
+    split = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.bool_or(F.col("rare").isNull()).alias("mixed"))
+    split = written(split.filter("lo <> hi").drop("lo", "hi"), "split")
     m = written(m.join(split, "bucket"), "open")
+    shared = pairs_at_shingles(m)
+    # The rest share frequent shingles only; a bucket with a class that isn't wide has at most WIDE.
+    size = F.greatest(100 * F.col("least"), percent * F.col("n"))
+    m = m.filter(F.col("mixed") | (10000 * F.col("often") >= percent * (100 * (F.col("n") - F.col("often")) + size))).drop("least", "mixed")
+    both = F.least(F.when(F.col("fx").isNotNull(), F.col("often")), F.when(F.col("often").isNotNull(), F.col("fx")))
+    enough = 100 * both >= percent * (F.col("n") + F.col("nx") - both)
     most = m.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"))
     rest = m.join(most.select("bucket", F.col("top.label").alias("big")), "bucket").filter("label <> big")
-    pairs = written(pairs_of(m, side(rest)).join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = pairs_of(m, side(rest), enough).unionByName(shared).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     more = links_of(pairs)
     if not more.isEmpty():
         edges = edges.unionByName(more)

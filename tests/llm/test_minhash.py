@@ -89,6 +89,36 @@ def test_links_between_wide_and_other_classes(spark, monkeypatch, wide):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
 
 
+def edited_copies(n):
+    """Copies of one text: three of four have one to three edits and link, the rest have four or five and mostly don't.  Edits stand in several copies."""
+    r = random.Random(31)
+    text = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    out = []
+    for i in range(n):
+        copy = list(text)
+        for j in r.sample(range(150), r.randint(4, 5) if i % 4 == 0 else r.randint(1, 3)):
+            copy[j] = f"e{j}x{r.randrange(n // 80)}"
+        out.append(" ".join(copy))
+    return list(enumerate(out))
+
+
+def test_few_pairs_between_edited_copies(spark, monkeypatch):
+    made, write = [], minhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    rows = edited_copies(400)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, 80)
+    # Bounds on own and rarest shingles alone left 44,114.
+    assert sum(made) < 20_000
+
+
 def test_sample_of_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
