@@ -31,7 +31,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import let, text_of
@@ -51,21 +51,34 @@ def _edge(h: Column, first: Column, i: Column) -> Column:
     return F.when(first <= last, all_of(first)).otherwise(all_of(last))
 
 
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{CHUNK + K - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+
+
+def _inner(chunk: Column) -> Column:
+    """The hashes of all inner substrings of a chunk."""
+    return F.transform(F.regexp_extract_all(chunk, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
+
+
+def _hash(chunk: Column, i: Column) -> Column:
+    """The hash of the k-mer at i of a chunk, 48 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.substring(chunk, i + 1, F.lit(K))), 16)
+
+
 def anchors(text: Column) -> Column:
     """array<struct<pos, hash>>: the chosen k-mers of a text, by position."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{CHUNK + K - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
 
     def of(c: Column, k: Column) -> Column:
-        inner = F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
-        anchor = lambda i: F.struct((k * CHUNK + i).alias("pos"), F.shiftrightunsigned(F.xxhash64(F.substring(c, i + 1, F.lit(K))), 16).alias("hash"))
-        return let(inner, lambda h: F.filter(F.transform(h, lambda x, i: F.when(_edge(h, x, i), anchor(i))), lambda a: a.isNotNull()))
+        anchor = lambda i: F.struct((k * CHUNK + i).alias("pos"), _hash(c, i).alias("hash"))
+        return let(_inner(c), lambda h: F.filter(F.transform(h, lambda x, i: F.when(_edge(h, x, i), anchor(i))), lambda a: a.isNotNull()))
 
-    return F.flatten(F.transform(pieces, of))
+    return F.flatten(F.transform(_chunks(text), of))
 
 
-def _or_whole(found: Column, text: Column) -> Column:
-    whole = F.struct(F.lit(0).alias("pos"), F.shiftrightunsigned(F.xxhash64(text), 16).alias("hash"))
-    return let(found, lambda x: F.when((F.size(x) > 0) | (F.length(text) == 0), x).otherwise(F.array(whole).cast(_ANCHORS)))
+def _or_whole(found: Column, digest: Column, n: Column) -> Column:
+    """The anchors, or the hash of the whole where a text of n characters has none."""
+    whole = F.struct(F.lit(0).alias("pos"), F.shiftrightunsigned(digest, 16).alias("hash"))
+    return let(found, lambda x: F.when((F.size(x) > 0) | (n == 0), x).otherwise(F.array(whole).cast(_ANCHORS)))
 
 
 def packed(found: Column) -> Column:
@@ -88,7 +101,37 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     t = text_of(text)
-    return let(_or_whole(anchors(t), t), packed)
+    return let(_or_whole(anchors(t), F.xxhash64(t), F.length(t)), packed)
+
+
+def _gathered(docs: DataFrame) -> DataFrame:
+    """(block, doc, own, end) of (block, doc, text, tail, base): the anchors of text, and those of tail moved by base.
+
+    The same anchors as those of ``anchors``, but inner hashes are rows here: their
+    comparisons run as generated code, where those of a lambda are interpreted.
+    What is gathered stays in its block's partition.  Each document has one empty
+    chunk more, whose row carries ``doc`` (the outer explode keeps it).
+    """
+    chunk = lambda at, c, own: F.struct(at.alias("at"), c.alias("c"), F.lit(own).alias("own"))
+    own = F.transform(_chunks(F.col("text")), lambda c, k: chunk(k * CHUNK, c, True))
+    end = F.transform(_chunks(F.col("tail")), lambda c, k: chunk(F.col("base") + k * CHUNK, c, False))
+    d = docs.select("block", F.monotonically_increasing_id().alias("row"), "doc", F.concat(F.array(chunk(F.lit(0), F.lit(""), True)), own, end).alias("chunks"))
+    d = d.select("block", "row", "doc", F.posexplode("chunks").alias("k", "chunk"))
+    d = d.select("block", "row", F.when(F.col("k") == 0, F.col("doc")).alias("doc"), "chunk.*", _inner(F.col("chunk.c")).alias("h"))
+    d = d.select("block", "row", "doc", "at", "c", "own", "h", F.posexplode_outer("h").alias("i", "first"))
+    i, at = F.col("i"), lambda j: F.get("h", F.col("i") + j)
+    least = F.least("first", at(_INNER - 1))
+    # A few comparisons first: few rows are left for the minimum of them all.
+    edge = reduce(lambda rest, j: rest & (least <= at(j)), range(1, 5), i + _INNER <= F.size("h")) & (least <= F.array_min(F.slice("h", i + 1, _INNER)))
+    d = d.filter(i.isNull() | edge)
+    # A place inside the chunk and a hash of 48 bits are one number, so what a document has is small until its row is made.
+    found = F.when(i.isNotNull(), F.shiftleft(i.cast("bigint"), 48) + _hash(F.col("c"), i))
+    d = d.select("block", "row", "at", "own", "doc", found.alias("found"))
+    d = d.groupBy("block", "row", "at", "own").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sort_array(F.collect_list("found")).alias("found"))
+    unpacked = lambda at, v: F.struct((at + F.shiftright(v, 48).cast("int")).alias("pos"), v.bitwiseAND(F.lit((1 << 48) - 1)).alias("hash"))
+    moved = lambda chunk: F.transform(chunk["found"], lambda v: unpacked(chunk["at"], v))
+    of = lambda own: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("own") == own, F.struct("at", "found")))), moved))
+    return d.groupBy("block", "row").agg(F.first("doc", ignorenulls=True).alias("doc"), of(True).alias("own"), of(False).alias("end")).drop("row")
 
 
 def _bounds(docs: DataFrame, blocks: int) -> list[tuple[int, int]]:
@@ -138,32 +181,42 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     return rows.withColumn("last", F.lit(False)).unionByName(heads)
 
 
-def edited(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    order = Window.partitionBy("block").orderBy("last", F.col("doc_id").asc_nulls_first(), "tie")
-    d = with_next(docs, blocks).withColumn("next", F.lead("text").over(order))
+def _order() -> WindowSpec:
+    return Window.partitionBy("block").orderBy("last", F.col("doc_id").asc_nulls_first(), "tie")
+
+
+def _edits(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(block, doc, text, tail, base) as ``_gathered`` takes them; doc has lengths and digests."""
+    d = with_next(docs, blocks).withColumn("next", F.lead("text").over(_order()))
     n = F.length("text")
     d = d.withColumn("n", n).withColumn("same", n - F.floor(n / 4).cast("int"))
     d = d.withColumn("new", F.coalesce(F.when(~F.col("last"), F.col("next").substr(F.lit(1), F.col("n") - F.col("same"))), F.lit("")))
     d = d.withColumn("start", F.substring("text", F.lit(1), F.col("same"))).withColumn("edited", F.concat("start", "new"))
     d = d.withColumn("base", F.greatest(F.lit(0), F.col("same") - (K - 1)))
     d = d.withColumn("tail", F.when(F.col("new") == "", F.lit("")).otherwise(F.concat(F.substring("start", F.col("base") + 1, F.lit(K - 1)), "new")))
-    d = d.withColumn("own", anchors(F.col("text"))).withColumn("end", anchors(F.col("tail")))
-    d = d.withColumn("fp", _or_whole(F.col("own"), F.col("text")))
+    doc = F.struct(
+        *("doc_id", "tie", "last", "same", F.col("n").cast("long").alias("n_chars")),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        F.xxhash64("edited").alias("edited_tie"),
+    )
+    return d.select("block", doc.alias("doc"), "text", "tail", "base")
+
+
+def edited(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+    d = _gathered(_edits(docs, blocks)).select("block", "doc.*", "own", "end")
+    d = d.withColumn("fp", _or_whole(F.col("own"), F.col("tie"), F.col("n_chars")))
     unchanged = F.filter("own", lambda x: x["pos"] <= F.col("same") - K)
-    moved = F.transform("end", lambda x: F.struct((x["pos"] + F.col("base")).alias("pos"), x["hash"].alias("hash")))
-    d = d.withColumn("edited_fp", _or_whole(F.concat(unchanged, moved), F.col("edited")))
+    d = d.withColumn("edited_fp", _or_whole(F.concat(unchanged, "end"), F.col("edited_tie"), F.col("n_chars")))
     d = d.select(
-        *("doc_id", "block", "tie", "last"),
-        F.col("n").cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        *("doc_id", "block", "tie", "last", "n_chars", "edited_sha256"),
         packed(F.col("fp")).alias("fingerprint"),
         packed(F.col("edited_fp")).alias("edited_fingerprint"),
         hashes(F.col("fp")).alias("fp"),
         hashes(F.col("edited_fp")).alias("edited_fp"),
     )
     d = d.withColumn("near_edited", likeness(F.col("fp"), F.col("edited_fp"))).drop("edited_fp")
-    d = d.withColumn("next_fp", F.lead("fp").over(order)).filter(~F.col("last"))
+    d = d.withColumn("next_fp", F.lead("fp").over(_order())).filter(~F.col("last"))
     return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
@@ -171,6 +224,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``query`` that need no fingerprint."""
+    d = _edits(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc.*")
+    return d.filter(~F.col("last")).select("doc_id", "n_chars", "edited_sha256")
+
+
 #: The columns that SQL can express.
 SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS next, first_value(coalesce(text, '')) OVER (ORDER BY doc_id) AS head FROM documents)

@@ -111,3 +111,44 @@ def test_blocks_do_not_matter(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a, b = syncmers.edited(d, blocks=1), syncmers.edited(d, blocks=17)
     assert a.exceptAll(b).count() == 0 and a.count() == b.count() == d.count()
+
+
+def test_gathered_anchors_against_brute_force(spark):
+    r = random.Random(5)
+    size = syncmers.CHUNK
+    lengths = [1, 7, 8, 39, 40, 41, size - 1, size, size + 1, size + 38, size + 39, size + 40, 2 * size, 2 * size + 39, 3000]
+    texts = ["".join(r.choice("ab é𝒳\n") for _ in range(n)) for n in lengths] + ["ab" * size, "z" * (2 * size), "", ("q" * 50 + "r") * 40, "天地" * 400]
+    rows = syncmers.edited(frame(spark, enumerate(texts)), blocks=3).collect()
+    whole = lambda t: brute(t) or ([(0, xxhash.xxh64_intdigest(t.encode(), 42) >> 16)] if t else [])
+    assert len(rows) == len(texts)
+    for row in rows:
+        t, nxt = texts[row["doc_id"]], texts[(row["doc_id"] + 1) % len(texts)]
+        e = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        assert row["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert unpack(row["fingerprint"]) == whole(t) and unpack(row["edited_fingerprint"]) == whole(e), row["doc_id"]
+
+
+def test_comparisons_run_as_generated_code(spark):
+    """Interpreted, they took most of the time; a method over 8000 bytes of code would be left interpreted by the JVM."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = syncmers.edited(frame(spark, enumerate(samples())), blocks=3)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    lines = plan.toString().splitlines()
+    assert any("*(" in x and " Filter " in x and "array_min(slice(h" in x for x in lines)
+    # Blocks alone decide where rows are: nothing is dealt again once texts are cut into chunks.
+    first, last = (next(k for k, x in enumerate(lines) if name in x) for name in ("ObjectHashAggregate", "Generate posexplode(chunks"))
+    assert first < last and not any("Exchange" in x for x in lines[:last])
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(plan)
+    sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size()) if "array_min(slice(h" in stages.apply(k)._1()]
+    assert sizes and max(sizes) < 8000
+
+
+def test_columns_without_fingerprints(spark):
+    sf = "/root/testdata/sf0.001"
+    some, full = syncmers.columns(spark, sf), syncmers.query(spark, sf).select("doc_id", "n_chars", "edited_sha256")
+    assert some.count() == full.count() and some.exceptAll(full).count() == 0
+    assert "posexplode" not in some._jdf.queryExecution().executedPlan().toString()
