@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import bloom, codec, slices
+from keyloom.plans import queries as core
 from keyloom.plans.envelope import shortest_separator, successor
 
 
@@ -71,3 +72,18 @@ def test_bloom_filters_and_names(spark):
     assert [r[0] for r in name.select(slices.file_number(F.col("n"))).collect()] == [42, 123, None]
     one = name.limit(1).select(slices.find(F.lit("abcabc"), "abc", 1), slices.find(F.lit("ab"), "abc"), slices.substr(F.lit("abcdef"), 2, 3), slices.starts_with(F.lit("abc"), "ab"), slices.ends_with(F.lit("abc"), "ab")).first()
     assert tuple(one) == (3, -1, "cde", True, False)
+
+
+def _few_events(spark, path, seqs):
+    rows = [(s - 1, 1, "view", "{}") for s in seqs]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_file_names_beyond_six_digits(spark, tmp_path):
+    """Six digits are the least width, so every number keeps a name of its own; the query's SQL cuts names from 1,000,000 on."""
+    seqs = [1, 999_999, 1_000_000, 1_000_001, 5_999_999]
+    got = {r["seq"]: (r["wal"], r["manifest"]) for r in core.QUERIES["kv_file_names"](spark, _few_events(spark, tmp_path, seqs)).collect()}
+    assert got == {s: (f"{s:06d}.wal", f"MANIFEST-{s:06d}") for s in seqs}
+    names = spark.createDataFrame([(n,) for pair in got.values() for n in pair], "n string")
+    assert sorted(r[0] for r in names.select(slices.file_number(F.col("n"))).collect()) == sorted(seqs * 2)
