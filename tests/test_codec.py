@@ -87,3 +87,11 @@ def test_file_names_beyond_six_digits(spark, tmp_path):
     assert got == {s: (f"{s:06d}.wal", f"MANIFEST-{s:06d}") for s in seqs}
     names = spark.createDataFrame([(n,) for pair in got.values() for n in pair], "n string")
     assert sorted(r[0] for r in names.select(slices.file_number(F.col("n"))).collect()) == sorted(seqs * 2)
+
+
+def test_varints_beyond_three_bytes(spark, tmp_path):
+    """Every varint can be read back; the query's SQL has three bytes at most, so it cuts those from 2**21 on."""
+    seqs = [127, 128, 2**14, 2**21 - 1, 2**21, 4_194_304, 5_999_999, 2**28, 2**35]
+    got = {r["seq"]: (bytes.fromhex(r["bytes"]), r["back"]) for r in core.QUERIES["kv_varint_codec"](spark, _few_events(spark, tmp_path, seqs)).collect()}
+    assert got == {s: (codec.varint(s), s) for s in seqs}
+    assert all(codec.read_varint(b) == (s, len(b)) for s, (b, _) in got.items())
