@@ -26,6 +26,8 @@ from keyloom.plans.envelope import CHANGE, DELETE, ORDERINGS, PUT, identity, sor
 
 DEFAULT = "default"
 L0_TRIGGER, BASE_BYTES, CHECKPOINT = 4, 256 << 20, 32
+#: So many footers the driver always reads itself, and all of files that are on average at least so large.
+FOOTERS, LARGE = 64, 16 << 20
 log = logging.getLogger("keyloom.store")
 
 
@@ -120,7 +122,21 @@ class Log:
         return time.time() - self.fs.getFileStatus(self._path(path)).getModificationTime() / 1000
 
     def bounds(self, path: str) -> list[dict]:
-        """Key and sequence bounds of each data file of a folder, from the footers."""
+        """Key and sequence bounds of each data file of a folder.
+
+        The driver needs about 20 ms for a footer, so many small files are read in a job instead.
+        """
+        total = self.fs.getContentSummary(self._path(path))
+        small = total.getFileCount() > FOOTERS and total.getLength() < total.getFileCount() * LARGE
+        return self._from_rows(path) if small else self._from_footers(path)
+
+    def _from_rows(self, path: str) -> list[dict]:
+        bounds = [f(c).alias(f"{n}_{c}") for c in ("key", "seq") for n, f in (("min", F.min), ("max", F.max))]
+        each = self._spark.read.schema(CHANGE).parquet(path).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("entries"), *bounds)
+        found = each.select("name", "entries", *(F.hex(c).alias(c) for c in ("min_key", "max_key")), "min_seq", "max_seq").collect()  # a row for each file
+        return sorted((r.asDict() for r in found), key=lambda r: r["name"])
+
+    def _from_footers(self, path: str) -> list[dict]:
         files = [s.getPath() for s in self.fs.listStatus(self._path(path)) if s.getPath().getName().endswith(".parquet")]
         hadoop = self._jvm.org.apache.parquet.hadoop
 
@@ -244,7 +260,8 @@ class Store:
         """Write change records of one keyspace, sorted by key inside range partitions; return add_file actions.
 
         Counts are observed while the files are written, key bounds come from
-        their footers: nothing is read back.
+        their footers: nothing is read back, but for keys and sequences of many
+        small files.
         """
         meta = self._cf(cf)
         path = f"data/cf_{meta['id']}/{uuid.uuid4().hex}"
@@ -256,7 +273,9 @@ class Store:
         sizes = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
         out = out.observe(seen, F.count(F.lit(1)).alias("entries"), F.count_if(F.col("op") == DELETE).alias("deletions"), F.coalesce(F.sum(sizes), F.lit(0)).alias("bytes"), F.coalesce(F.bit_xor(crc), F.lit(0)).alias("crc"))
         writer = out.write.option("parquet.bloom.filter.enabled#key", "true")
-        (writer.option("maxRecordsPerFile", target_rows) if target_rows else writer).parquet(f"{self.root}/{path}")
+        if target_rows:  # a filter for unknown numbers takes 1 MB a file
+            writer = writer.option("maxRecordsPerFile", target_rows).option("parquet.bloom.filter.expected.ndv#key", target_rows)
+        writer.parquet(f"{self.root}/{path}")
         parts = self.log.bounds(f"{self.root}/{path}")
         if not parts:
             return []
@@ -316,6 +335,15 @@ class Store:
             return end or None, start + b"\x00" if start else None
         return None, None
 
+    def _paths(self, files: Iterable[dict], fits=lambda f: True) -> list[str]:
+        """The data files that fit; a commit's folder where all of its files do, as the driver looks up every path."""
+        out = []
+        for f in filter(fits, files):
+            names = [p["name"] for p in f["parts"] if fits(p)]
+            whole = f"{self.root}/{f['path']}"
+            out += [whole] if len(names) == len(f["parts"]) else [f"{whole}/{n}" for n in names]
+        return out
+
     def changes(self, cf: str = DEFAULT, start: bytes | None = None, end: bytes | None = None, as_of: int | None = None, prune: tuple[bytes | None, bytes | None] | None = None) -> DataFrame:
         """Change records with start <= key < end in the keyspace's order, from the files that can matter.
 
@@ -327,7 +355,7 @@ class Store:
         low, high = prune or self._key_range(cf, start, end)
         lo, hi = (x.hex().upper() if x else None for x in (low, high))
         fits = lambda f: (lo is None or f["max_key"] >= lo) and (hi is None or f["min_key"] < hi) and (as_of is None or f["min_seq"] <= as_of)
-        keep = [f"{self.root}/{f['path']}/{p['name']}" for f in self.files.values() if f["cf"] == meta["id"] and fits(f) for p in f["parts"] if fits(p)]
+        keep = self._paths((f for f in self.files.values() if f["cf"] == meta["id"]), fits)
         if not keep:
             return self.spark.createDataFrame([], CHANGE)
         df = self.spark.read.schema(CHANGE).parquet(*keep)
@@ -405,7 +433,7 @@ class Store:
         if not old or not (force or due):
             return False
         oldest = min([self.version, *self.pins]) if oldest is None else oldest
-        records = self.spark.read.schema(CHANGE).parquet(*[f"{self.root}/{f['path']}/{p['name']}" for f in old for p in f["parts"]])
+        records = self.spark.read.schema(CHANGE).parquet(*self._paths(old))
         kept = merge.retain(records.withColumn("_id", self._identity(cf)), oldest, bottom=len(old) == len(mine), by=("cf", "_id"))
         version = self.version + 1
         actions = self._write(cf, kept, level=1, target_rows=target_rows)

@@ -230,3 +230,22 @@ def test_compaction_of_a_range_and_pinned_snapshots(spark, root):
     assert sum(f["level"] == 0 for f in s.files.values()) == 1 and s.property("num-files-at-level1") >= 3
     s.release(snap)
     assert s.compact() and s.property("num-deletions") == 0 and s.scan().count() == 17
+
+
+def test_many_small_files(spark, root, monkeypatch):
+    """Compaction into many files reads no footer on the driver, lists folders only and writes filters that fit."""
+    s = open_store(spark, root)
+    s.put_all(bulk(spark, [(b"%06d" % i, b"v") for i in range(2000)] + [(b"\xff%d" % i, b"w") for i in range(10)]))
+    s.delete_all(spark.createDataFrame([(b"%06d" % i,) for i in range(0, 2000, 2)], "key binary"))
+    before = items(s.scan())
+    monkeypatch.setattr(store_module.Log, "_from_footers", lambda *_: pytest.fail("a footer was read"))
+    assert s.compact(target_rows=10)
+    monkeypatch.undo()
+    (f,) = s.files.values()
+    folder = f"{root}/{f['path']}"
+    assert len(f["parts"]) > store_module.FOOTERS and sum(p["entries"] for p in f["parts"]) == f["entries"] == 1010
+    assert f["parts"] == sorted(s.log._from_footers(folder), key=lambda p: p["name"]) == s.log.bounds(folder)
+    assert s.log.fs.getContentSummary(s.log._path(folder)).getLength() < 20_000 * len(f["parts"])
+    assert s._paths(s.files.values()) == [folder] and len(s.changes().inputFiles()) == len(f["parts"])
+    assert 0 < len(s.changes(start=b"000100", end=b"000110").inputFiles()) < 5
+    assert items(s.scan()) == before and s.get(b"000101") == b"v" and s.get(b"000100") is None and s.fsck() == []
