@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,10 @@ EXTRA = (
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}"
     r"|(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? \p{Lu}[\p{L}'-]++(?: \p{Lu}[\p{L}'-]++)?"
 )
+#: What each match of EXTRA holds: one of these, or a digit in such surroundings (of a run of 16, eight stand on one side of any digit).
+EXTRA_PARTS = ("+", "@", "Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr")
+EXTRA_DIGIT = r"[0-9](?:[0-9]{2}[ .)-]|(?<=[A-Z]{2}[0-9])[0-9]|[A-Za-z0-9_+/-]{8}|(?<=[A-Za-z0-9_+/-]{9}))"
+EXTRA_AT = r"[\[(] ?at ?[\])]"
 #: The gazetteer labeler's lists.
 DOMAINS = "com org net edu gov info io de fr es it uk eu ch at be nl"
 GIVEN = "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph anna maria jose juan carlos luis pedro ana laura hans peter klaus karl jean pierre marie claire sophie louis paul luca"
@@ -88,25 +93,37 @@ def _luhn(txt: Column) -> Column:
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
+_BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
+_VALID = {
+    "email": lambda x: F.lit(True),
+    "ip": lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"),
+    "card": _luhn,
+    "phone": lambda x: F.length(_digits(x)).between(10, 15),
+}
+
+
+def _needs(text: Column) -> dict[str, Column]:
+    """What every match of a kind holds; a text without it isn't searched."""
+    return {"email": text.contains("@"), "ip": text.contains("."), "card": text.rlike(CARD_START), "phone": text.contains("+")}
+
+
 def base_spans(text: Column) -> Column:
     """array<struct<start, ord, end, kind, txt>> by start, then kind as listed."""
-    valid = {
-        "email": lambda x: F.lit(True),
-        "ip": lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"),
-        "card": _luhn,
-        "phone": lambda x: F.length(_digits(x)).between(10, 15),
-    }
-
-    # What every match holds; a text without it isn't searched.
-    needs = {"email": text.contains("@"), "ip": text.contains("."), "card": text.rlike(CARD_START), "phone": text.contains("+")}
+    needs = _needs(text)
 
     def part(ord_: int, kind: str, pattern: str) -> Column:
         found = F.when(needs[kind], _found(text, pattern)).otherwise(F.array().cast(_SPANS))
-        good = F.filter(found, lambda s: valid[kind](s["txt"]))
+        good = F.filter(found, lambda s: _VALID[kind](s["txt"]))
         return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(ord_).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["txt"].alias("txt")))
 
-    parts = [part(k, kind, pattern) for k, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))]
-    return F.sort_array(F.concat(*parts))
+    return F.sort_array(F.concat(*[part(k, kind, pattern) for k, (kind, pattern) in enumerate(_BASE.items())]))
+
+
+def base_counts(text: Column) -> list[Column]:
+    """How many base spans of each kind a text has: n_<kind>."""
+    needs = _needs(text)
+    good = lambda kind: F.filter(F.regexp_extract_all(text, F.lit(_BASE[kind]), F.lit(0)), _VALID[kind])
+    return [F.when(needs[kind], F.size(good(kind))).otherwise(0).cast("long").alias(f"n_{kind}") for kind in KINDS]
 
 
 def _kind_of(txt: Column) -> Column:
@@ -116,9 +133,16 @@ def _kind_of(txt: Column) -> Column:
     return out.otherwise("secret")
 
 
+def _may_hold_more(text: Column) -> Column:
+    """False only where EXTRA has no match; far quicker than searching the text."""
+    parts = [text.contains(x) for x in EXTRA_PARTS]
+    return reduce(lambda a, b: a | b, [*parts, text.rlike(EXTRA_DIGIT), text.rlike(EXTRA_AT)])
+
+
 def added_candidates(text: Column, base: Column) -> Column:
     """Candidates of the looser kinds that overlap no base span."""
-    each = F.transform(_found(text, EXTRA), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), s["end"].alias("end"), _kind_of(s["txt"]).alias("kind"), s["txt"].alias("txt")))
+    found = F.when(_may_hold_more(text), _found(text, EXTRA)).otherwise(F.array().cast(_SPANS))
+    each = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), s["end"].alias("end"), _kind_of(s["txt"]).alias("kind"), s["txt"].alias("txt")))
     return F.filter(each, lambda s: s["kind"].isNotNull() & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
@@ -289,6 +313,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *map(count, KINDS), F.sha2(F.encode(joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that SQL can express: they need neither positions nor the added kinds, so nothing else is searched."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *base_counts(text_of("text")))
+
+
 #: The columns that SQL can express.
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)

@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from keyloom.llm import pii
+from keyloom.llm.queries import QUERIES
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -129,3 +132,27 @@ def test_added_spans_have_precision_and_recall(spark):
     by = {k: (sum(g[1] == k for g in got & truth), sum(g[1] == k for g in got), sum(t[1] == k for t in truth)) for k in pii.ADDED}
     print("added spans: precision", round(precision, 3), "recall", round(recall, 3), by)
     assert precision > 0.9 and recall > 0.9, by
+
+
+def test_counts_need_base_patterns_only(spark, tmp_path, monkeypatch):
+    rows = list(enumerate(HARD)) + [(3, "again +1 (555) 123-4567")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("written", "fit", "added_candidates"):
+        monkeypatch.setattr(pii, name, lambda *_: (_ for _ in ()).throw(AssertionError("more than the base patterns was searched")))
+    got = sorted(map(tuple, QUERIES["columns_of_op9"](spark, str(tmp_path)).collect()))
+    assert got == sorted((d, *(sum(w[3] == k for w in brute(t)) for k in PATTERNS)) for d, t in rows)
+    assert sum(sum(r[1:]) for r in got) > 3000
+
+
+def test_texts_that_are_not_searched_hold_no_candidate(spark):
+    import random
+
+    r = random.Random(4)
+    parts = ["+", "@", "at", "[", "]", "(", ")", " ", ".", "-", "_", "/", "=", "0", "7", "123", "45", "6789", "é", "DE", "XY12", "a", "aB", "abcdefg", "Mr", "Mrs", "Dr.", "Prof", "Herr", "Frau", "Mme", "Mlle", "Ms", "Sra", "Lopez", "dot", "com"]
+    ends = ["b" * 8 + "1" + "c" * 7, "1" + "b" * 15, "b" * 15 + "1", "b" * 7 + "1" + "c" * 8, "123-45-6789", "(212) 555-1234", "212.555.1234", "DE12" + " 3456" * 3, "Mrs Ab", "a [at] b [dot] com", "a@b", "+1 2"]
+    texts = [a + t + b for t in ends for a in ("", "x ", "é", " (") for b in ("", " y", "é", ")")] + ["".join(r.choices(parts, k=r.randrange(1, 14))) for _ in range(20000)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    t = F.col("text")
+    d = d.select("doc_id", F.size(F.regexp_extract_all(t, F.lit(pii.EXTRA), F.lit(0))).alias("n"), pii._may_hold_more(t).alias("may"))
+    n = d.selectExpr("count_if(n > 0 AND NOT may) AS missed", "count_if(n > 0) AS held", "count_if(NOT may) AS skipped").first()
+    assert n["missed"] == 0 and n["held"] > 1000 and n["skipped"] > 1000, n
